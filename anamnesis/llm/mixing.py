@@ -145,6 +145,10 @@ def source_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
 
 
+def id_key(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("n"))
+
+
 def size_table(docs: DataFrame, rules: MixRules) -> DataFrame:
     """(doc_id, skey, size, tie, bucket) of each row, written once."""
     base = pick(docs, "doc_id", "source", "text").select(
@@ -234,7 +238,7 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> Mix:
     sizes = size_table(docs, rules)
     stats = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
     sources = plan([(r["source"], int(r["size"])) for r in stats], rules)
-    return Mix(sources, positions(sizes, rules), slots(spark, sources, rules))
+    return Mix(sources, written(positions(sizes, rules), "mix-places"), slots(spark, sources, rules))
 
 
 def mixed_spans(m: Mix, rules: MixRules = MixRules()) -> DataFrame:
@@ -264,16 +268,11 @@ def mixed_documents(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     m = mix(docs, rules)
     pieces = mixed_spans(m, rules).groupBy("doc_id", "skey", "size", "tie", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
-    keyed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
-    at = {n: f"c{columns.index(n)}" for n in ("doc_id", "source", "text")}
-    keyed = keyed.withColumns({"skey": source_key(F.col(at["source"])), "size": n_words(F.col(at["text"])), "tie": F.xxhash64(at["text"])}).filter("size > 0")
-    same = ["k_id", "skey", "size", "tie"]
-    keyed = keyed.withColumn("k_id", F.col(at["doc_id"])).groupBy(*same).agg(*(F.first(f"c{i}").alias(f"c{i}") for i in range(len(columns))))
-    pieces = pieces.withColumnRenamed("doc_id", "p_id").withColumnsRenamed({c: f"p_{c}" for c in same[1:]})
-    on = F.col("k_id").eqNullSafe(F.col("p_id"))
-    for c in same[1:]:
-        on = on & (F.col(c) == F.col(f"p_{c}"))
-    joined = pieces.join(keyed, on).select("runs", *(f"c{i}" for i in range(len(columns))))
+    flat = [f"c{i}" for i in range(len(columns))]
+    at = {n: flat[columns.index(n)] for n in ("doc_id", "source", "text")}
+    key = {"skey": source_key(F.col(at["source"])), "size": n_words(F.col(at["text"])), "tie": F.xxhash64(at["text"]), "id": id_key(F.col(at["doc_id"]))}
+    keyed = docs.toDF(*flat).withColumns(key).filter("size > 0").groupBy(*key).agg(*(F.first(c).alias(c) for c in flat))  # repeated rows share a text
+    joined = pieces.withColumn("id", id_key(F.col("doc_id"))).join(keyed, list(key)).select("runs", *flat)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
