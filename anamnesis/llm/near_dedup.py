@@ -6,9 +6,11 @@ hashes; a tree orders the classes by its part of the signature, and the classes
 prefix are a region of that order. Regions of the first depth propose links in two rounds.
 First each class is held against its region's leader; true links so found are merged into
 components, which empties dense regions however many copies they hold. Then, in regions that
-still hold several components, all pairs of classes from different components are proposed;
-a region of more than `region` classes first goes deeper, prefix by prefix, and where even
-the whole prefix is shared by more, neighbours in the order of the next tree are proposed.
+still hold several components, all pairs of classes from different components are compared
+by one bit of each minimum hash, and those near enough are proposed. The depth adapts to the
+region: one with more than `pairs` such pairs goes deeper, prefix by prefix, and where even
+the whole prefix leaves more, neighbours in the order of the next tree are proposed, so only
+there can a link be missed beyond the forest's own odds (1 in 100,000 at the threshold).
 Proposals whose signatures agree too little to reach the threshold (by 4.75 standard
 deviations) fall away; all others are confirmed on full sets. No group is expanded into all
 its pairs, and nothing about all documents reaches the driver.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.llm.common import pick, slices, texts_as_bytes, written
@@ -49,7 +51,7 @@ class NearRules:
     trees: int = 16
     depth: int = 4
     deepest: int = 8
-    region: int = 64
+    pairs: int = 2_000_000
     seed: int = 11
 
     @property
@@ -57,8 +59,14 @@ class NearRules:
         t, n = self.threshold_pct / 100, self.trees * self.deepest
         return t - 4.75 * math.sqrt(t * (1 - t) / n)
 
+    @property
+    def most_bits(self) -> int:
+        """Of the signatures' lowest bits, how many may differ: half of all unequal minimum hashes do."""
+        p, n = (1 - self.threshold_pct / 100) / 2, self.trees * self.deepest
+        return math.ceil(n * p + 4.75 * math.sqrt(n * p * (1 - p)))
+
 
-#: Shingles a sharper pipeline default: five words, similarity 0.8.
+#: Where no contract sets other values: five words, similarity 0.8.
 FIVE_WORDS = NearRules(shingle=5, threshold_pct=80, depth=3)
 
 
@@ -94,28 +102,35 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def low_bits(sig: np.ndarray) -> bytes:
+    return np.packbits((sig & np.uint32(1)).astype(bool)).tobytes()
+
+
 def class_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, n_shingles, node, sig) of each document; node, its class, and sig are null for an empty set."""
+    """(doc_id, n_shingles, node, sig, bits) of each document; node, its class, sig and bits (the signature's lowest
+    bits, eight bytes at a time) are null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(rules)
         for batch in slices(batches):
             sets = [shingle_set(t, rules.shingle) for t in texts_as_bytes(batch)]
+            sigs = [signature(s, a, b) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signature(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
+                    pa.array([None if s is None else np.frombuffer(low_bits(s), np.int64).tolist() for s in sigs], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "sig"],
+                names=["doc_id", "n_shingles", "node", "sig", "bits"],
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary")
+    return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary, bits array<long>")
 
 
 def region_rows(classes: DataFrame, depth: int, rules: NearRules) -> DataFrame:
@@ -184,34 +199,36 @@ def confirmed_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rules
     return written(confirmed(close, written(full_sets(nodes, classes, docs, rules), "near-sets"), rules), "near-links")
 
 
-def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, label, n) of the regions that hold several components."""
+def crossing(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, node, label, bits, pairs) of the regions that hold several components; pairs: how many pairs of
+    classes lie in different ones."""
     named = members.select("region", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    live = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
-    return named.join(live.select("region", "n"), "region")
+    held = named.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region")
+    live = held.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")).filter("pairs > 0")
+    return named.join(live, "region").join(classes.select("node", "bits"), "node")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a before b, of classes of one region in different components."""
-    left, right = rows.select("region", F.col("node").alias("a"), F.col("label").alias("la")), rows.select("region", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, "region").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
+def cross_pairs(rows: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b), a before b, of classes of one region in different components whose low bits are near enough."""
+    left, right = (rows.select("region", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
+    words = rules.trees * rules.deepest // 64
+    far = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(words)), F.lit(0))
+    return left.join(right, "region").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (far <= rules.most_bits)).select("a", "b")
 
 
 def proposals(members: DataFrame, labels: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
     """The second round's pairs."""
-    rows, depth = written(crossing(members, labels), "near-cross"), rules.depth
-    pairs = cross_pairs(rows.filter(F.col("n") <= rules.region))
-    large = rows.filter(F.col("n") > rules.region)
+    rows, depth = written(crossing(members, labels, classes), "near-cross"), rules.depth
+    pairs = cross_pairs(rows.filter(F.col("pairs") <= rules.pairs), rules)
+    large = rows.filter(F.col("pairs") > rules.pairs)
     while depth < rules.deepest and large.limit(1).count():
         depth += 1
         within = classes.join(large.select("node").distinct(), "node", "left_semi")
         deeper = region_rows(within, depth, rules).join(large.select(F.col("region").alias("parent")).distinct(), "parent", "left_semi")
-        rows = written(crossing(deeper, labels), "near-cross")
-        pairs = pairs.union(cross_pairs(rows.filter(F.col("n") <= rules.region)))
-        large = rows.filter(F.col("n") > rules.region)
+        rows = written(crossing(deeper, labels, classes), "near-cross")
+        pairs = pairs.union(cross_pairs(rows.filter(F.col("pairs") <= rules.pairs), rules))
+        large = rows.filter(F.col("pairs") > rules.pairs)
     if large.limit(1).count():
-        from pyspark.sql import Window
-
         half = 4 * rules.deepest
         turned = F.concat(F.expr(f"substring(sig, {half + 1})"), F.expr(f"substring(sig, 1, {half})"))
         order = Window.partitionBy("region").orderBy(turned)
@@ -226,7 +243,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own
     included) and kept (whether that is its own)."""
     drawn = written(sketches(docs, rules), "near-sketches")
-    classes = written(drawn.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "near-classes")
+    classes = written(drawn.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "near-classes")
     regions = region_rows(classes, rules.depth, rules).select("region", "node")
     leaders = regions.groupBy("region").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("region", "leader")
     members = written(regions.join(leaders, "region"), "near-members")
@@ -236,8 +253,8 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     rest = proposals(members, labels, classes, rules).join(stars, ["a", "b"], "left_anti")
     more = confirmed_links(rest, classes, docs, rules)
     if more.limit(1).count():
-        ends = [more.join(labels.toDF(c, f"l{c}"), c, "left").select(*more.columns, F.coalesce(f"l{c}", c).alias(f"n{c}")) for c in "a"]
-        joined = ends[0].join(labels.toDF("b", "lb"), "b", "left").select(F.col("na").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
+        joined = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
         merged = components(joined).toDF("label", "top")
         known = labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
         fresh = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
