@@ -24,10 +24,14 @@ def fold(c: Column) -> Column:
     return F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
-def fold_exact(s: pd.Series) -> pd.Series:
+def fold_exact(c: Column) -> Column:
     """NFKC and full Unicode case folding, for texts that fold() may differ on."""
-    return s.fillna("").map(lambda t: unicodedata.normalize("NFKC", t).casefold())
+
+    @F.pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(lambda t: unicodedata.normalize("NFKC", t).casefold())
+
+    return folded(c)
 
 
 def raw_tokens(folded: Column) -> Column:

@@ -12,7 +12,7 @@ NOW = "2024-02-01 00:00:00"
 QUERIES = (
     (1, "what inger tion editor"),
     (2, "hest reer anble"),
-    (3, "slot tionth rewh"),
+    (3, "user slot5 tionth rewh"),
     (4, "thre outre dans"),
     (5, "cher zzqx"),
     (6, "!!!"),
