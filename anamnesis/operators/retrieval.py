@@ -16,6 +16,7 @@ from anamnesis.functions.constants import (
     RRF_K, SALIENCE_BIAS, SALIENCE_WEIGHT, SHARPNESS, SUBJECT_SEED, SUBJECT_WEIGHT, VECTOR_FLOOR, VECTOR_STRONG,
 )
 from anamnesis.functions.lifecycle import c, is_live
+from anamnesis.functions.porter import stemmed
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -23,15 +24,17 @@ def parsed(queries: DataFrame) -> DataFrame:
     return queries.withColumn("tokens", text.tokens(c("query")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf) of every word, stopwords included; apostrophes cut words here."""
+def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
+    """(id, term, tf) of every word, stopwords included; apostrophes cut words here. stems: words by their Porter stem."""
     every = F.regexp_extract_all(text.fold(c("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return docs.select("id", F.explode(every).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counted = docs.select("id", F.explode(every).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return stemmed(counted).groupBy("id", "term").agg(F.sum("tf").alias("tf")) if stems else counted
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term, times, n_terms): at most twelve terms of each query."""
+def query_terms(queries: DataFrame, stems: bool = False) -> DataFrame:
+    """(qid, term, times, n_terms): at most twelve terms of each query. Stems are taken before prefixes are matched."""
     terms = parsed(queries).select("qid", F.explode(text.query_terms(c("tokens"))).alias("term"))
+    terms = stemmed(terms) if stems else terms
     counted = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
     return counted.withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
 
@@ -70,9 +73,9 @@ def ladder(scored: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES) -> Da
     return first.withColumn("rank", F.row_number().over(order) - 1).filter(c("rank") < limit).select("qid", "id", "rung", "rank", "magnitude")
 
 
-def bm25_search(queries: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    index = postings(mem)
-    return ladder(bm25(matches(query_terms(queries), index), index), mem, limit)
+def bm25_search(queries: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES, stems: bool = False) -> DataFrame:
+    index = postings(mem, stems)
+    return ladder(bm25(matches(query_terms(queries, stems), index), index), mem, limit)
 
 
 def token_idf(rows: DataFrame, *by: str) -> DataFrame:
@@ -141,10 +144,10 @@ def pool_of(mem: DataFrame, size: int = MAX_CANDIDATES) -> DataFrame:
     return live_ranked(mem, size).withColumn("tokens", text.tokens(c("text")))
 
 
-def recall(queries: DataFrame, mem: DataFrame, now: Column, pool_size: int = MAX_CANDIDATES, scope: str | None = None) -> DataFrame:
+def recall(queries: DataFrame, mem: DataFrame, now: Column, pool_size: int = MAX_CANDIDATES, scope: str | None = None, stems: bool = False) -> DataFrame:
     """(qid, id, lexical, slot, coverage, salience, score, first): all candidates above the least score. first: the
     place of a candidate before scores order them (index hits, then cosine hits, then slots)."""
-    pool, index = pool_of(mem, pool_size), bm25_search(queries, mem)
+    pool, index = pool_of(mem, pool_size), bm25_search(queries, mem, stems=stems)
     cosine = tfidf_search(queries, pool)
     rankings = index.select("qid", F.lit("bm25").alias("ranker"), "id", "rank", "magnitude").unionByName(cosine.select("qid", F.lit("tfidf").alias("ranker"), "id", "rank", "magnitude"))
     usable = parsed(queries).filter(F.size("tokens") > 0).select("qid", "tokens")

@@ -50,7 +50,7 @@ def mem(spark):
 
 
 def best(spark, mem, *asked):
-    return {r.qid: r.id for r in retrieval.top(retrieval.recall(queries(spark, *asked), mem, now()), 1).collect()}
+    return {r.qid: r.id for r in retrieval.top(retrieval.recall(queries(spark, *asked), mem, now(), stems=True), 1).collect()}
 
 
 def test_recall_finds_what_is_asked(spark, mem):
@@ -84,6 +84,19 @@ def test_bm25_equals_fts5(spark, mem):
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
+def test_porter_index_equals_fts5(spark, mem):
+    rows = [(r.id, r.text) for r in mem.collect()] + [(900, "relational databases were happily conditioned, flies agreed hopping and falling; allergies"), (901, "generalizations of adjustable oscillators"), (902, "parsers parsing parsed")]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='porter unicode61')")
+    db.executemany("INSERT INTO f(rowid, text) VALUES (?, ?)", rows)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for asked in ("parser dashboards", "relate condition", "fly agree hops", "general adjust oscillate", "allergy", "reviewing metrics", "database falls"):
+        index = retrieval.postings(docs, stems=True)
+        got = {r.id: r.magnitude for r in retrieval.bm25(retrieval.matches(retrieval.query_terms(queries(spark, asked), stems=True), index), index).filter("not prefix").collect()}
+        want = {i: -s for i, s in db.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (" OR ".join(f'"{w}"' for w in asked.split()),))}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want), asked
+
+
 def test_ladder_prefers_the_strictest_rung(spark, mem):
     rung = {r.qid: r.rung for r in retrieval.bm25_search(queries(spark, "dark editor", "dar edit", "dark zebra", "dar zebra"), mem).select("qid", "rung").distinct().collect()}
     assert rung == {0: 1, 1: 2, 2: 3, 3: 4}
@@ -275,7 +288,7 @@ def test_model_replies(spark):
         assert extract.facts_of_reply(reply) == [{"text": "The user uses pnpm daily", "memory_type": "preference", "subject": "tool.pm", "importance": 1.0}]
     assert [extract.facts_of_reply(r) for r in ("", "not json", "[1,2,3]", None, '{"a":1}', '[{"text":"a session note here","memory_type":"session"}]')] == [[]] * 6
     assert extract.verdicts_of_reply('{"same":[1,9]}', 2) == [1] and extract.verdicts_of_reply('{"same":[[2]]}', 2) == [2] and extract.verdicts_of_reply("no", 2) is None
-    turns = spark.createDataFrame([(1, "I like the things that I like")], "turn_id long, text string")
+    turns = spark.createDataFrame([(1, "I enjoy long quiet walks")], "turn_id long, text string")
     assert extract.extracted_by(turns, lambda t: good).first().memory_type == "preference"
 
 
@@ -296,3 +309,21 @@ def test_files(spark, tmp_path):
 def test_refinement(spark):
     row = spark.createDataFrame([(["a", "b"], ["b", "a", "c"])], "x array<string>, y array<string>")
     assert row.select(text.refines(F.col("x"), F.col("y")), text.refines(F.col("y"), F.col("x"))).first()[:] == (True, False)
+
+
+def test_engine(spark, tmp_path):
+    from anamnesis.api import MemoryEngine
+
+    e = MemoryEngine(spark, f"file://{tmp_path}/engine", now())
+    said = {r.id: r.action for r in e.add_many([("The user is allergic to peanuts", "fact", None), ("The user likes tea", "preference", None), ("the user LIKES tea.", "preference", None), ("note", "session", None)]).collect()}
+    assert said == {1: "insert", 2: "insert", 3: "duplicate"}
+    e.observe(["I live in Berlin because of work"])
+    got = {r.qid: r.id for r in e.search(["do I have any allergies", "where do I live", "!!!"], k=1).collect()}
+    assert got[0] == 1 and got[1] == 3 and 2 in got
+    assert {r.qid for r in e.search(["any allergies"], use_vectors=False).collect()} == set()
+    e.search(["tea"], k=1, reinforce=True)
+    assert e.store.read().filter("id = 2").first().access_count == 1
+    assert "allergic" in e.context(["allergic to peanuts"]).first().block
+    assert e.tick(consolidate=True).first().checked == 3
+    e.forget([1])
+    assert e.stats().first().live == 2
