@@ -69,7 +69,7 @@ def ladder(scored: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES) -> Da
     both = F.when(c("matched") == c("n_terms"), F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(3)))
     rungs = hits.withColumn("rung", F.explode(F.transform(both, lambda r: r + c("prefix").cast("int"))))
     first = rungs.withColumn("first", F.min("rung").over(Window.partitionBy("qid"))).filter("rung = first")
-    order = Window.partitionBy("qid").orderBy(F.desc("magnitude"), F.asc("id"))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("magnitude", 9)), F.asc("id"))
     return first.withColumn("rank", F.row_number().over(order) - 1).filter(c("rank") < limit).select("qid", "id", "rung", "rank", "magnitude")
 
 

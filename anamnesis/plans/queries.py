@@ -176,11 +176,11 @@ def normalize_types(spark, d):
     return labels.crossJoin(table(spark, d, "region")).groupBy("label", life.normalize_type(c("label")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, round(greatest(0, epoch(TIMESTAMP '2024-01-15 00:00:00' - date_trunc('second', ts)) / 86400), 6) AS age FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, round(greatest(0, epoch(TIMESTAMP '2024-01-15 00:00:00' - date_trunc('second', ts)) / 86400), 8) AS age FROM events")
 def parse_times(spark, d):
     texts = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("s"))
     at = life.parse_time(c("s"))
-    return texts.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), F.round(life.days_since(at, F.lit("2024-01-15 00:00:00").cast("timestamp")), 6).alias("age"))
+    return texts.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), F.round(life.days_since(at, F.lit("2024-01-15 00:00:00").cast("timestamp")), 8).alias("age"))
 
 
 @query("SELECT doc_id::VARCHAR AS name, i::BIGINT AS line, trim(l[i]) AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(l[i]), 'thanatre')")
@@ -273,7 +273,7 @@ hd AS (SELECT qid, term, pre, count(*) AS df FROM hit GROUP BY ALL),
 bm AS (SELECT qid, pre, id, n_terms, count(*) AS matched, sum(times * CASE WHEN ln((nd - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((nd - df + 0.5) / (df + 0.5)) END
  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS magnitude FROM hit JOIN hd USING (qid, term, pre) JOIN ln_ USING (id), st GROUP BY qid, pre, id, n_terms)"""
 LADDER = """rungs AS (SELECT qid, id, 1 + pre AS rung, magnitude FROM bm JOIN live USING (id) WHERE matched = n_terms UNION ALL SELECT qid, id, 3 + pre, magnitude FROM bm JOIN live USING (id)),
-bmr AS (SELECT qid, id, rung, magnitude, row_number() OVER (PARTITION BY qid ORDER BY magnitude DESC, id) - 1 AS rank FROM
+bmr AS (SELECT qid, id, rung, magnitude, row_number() OVER (PARTITION BY qid ORDER BY round(magnitude, 9) DESC, id) - 1 AS rank FROM
  (SELECT * FROM rungs QUALIFY rung = min(rung) OVER (PARTITION BY qid)) QUALIFY rank < 200)"""
 
 
