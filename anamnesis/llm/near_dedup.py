@@ -3,17 +3,15 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets form one class,
 and classes are what is linked. Each class has a signature of trees x deepest minimum
 hashes; a tree orders the classes by its part of the signature, and the classes that share a
-prefix are a region of that order. Regions of the first depth propose links in two rounds.
-First each class is held against its region's leader; true links so found are merged into
-components, which empties dense regions however many copies they hold. Then, in regions that
-still hold several components, all pairs of classes from different components are compared
-by one bit of each minimum hash, and those near enough are proposed. The depth adapts to the
-region: one with more than `pairs` such pairs goes deeper, prefix by prefix, and where even
-the whole prefix leaves more, neighbours in the order of the next tree are proposed, so only
-there can a link be missed beyond the forest's own odds (1 in 100,000 at the threshold).
-Proposals whose signatures agree too little to reach the threshold (by 4.75 standard
-deviations) fall away; all others are confirmed on full sets. No group is expanded into all
-its pairs, and nothing about all documents reaches the driver.
+prefix are a region of that order. The depth adapts to the region: one of more than `region`
+classes is split by the next value of the prefix, down to the deepest. Within a region the
+signatures are compared in blocks; a spanning forest of the pairs that agree nearly enough
+(4.75 standard deviations below the threshold count) leaves the task, never all pairs. Its
+components are the suspect groups. Each group's full sets are then compared in blocks, and a
+spanning forest of the true links leaves the task; its components are the result. So a
+group of any number of copies costs at most two rows for each copy and block, no link
+between different texts of a group is lost, and nothing about all documents reaches the
+driver. A pair at the threshold shares no region in any tree once in 100,000 times.
 
 Defined results: documents without words (null, empty, white space) have an empty set, are
 linked with nothing and are their own component; those with fewer words than a shingle have
@@ -30,9 +28,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.common import pick, slices, texts_as_bytes, written
@@ -51,7 +50,9 @@ class NearRules:
     trees: int = 16
     depth: int = 4
     deepest: int = 8
-    pairs: int = 2_000_000
+    region: int = 8192
+    block: int = 512
+    bucket_rows: int = 2000
     seed: int = 11
 
     @property
@@ -59,12 +60,6 @@ class NearRules:
         t, n = self.threshold_pct / 100, self.trees * self.deepest
         return t - 4.75 * math.sqrt(t * (1 - t) / n)
 
-    @property
-    def most_bits(self) -> int:
-        """Of the signatures' lowest bits, how many may differ: half of all unequal minimum hashes do."""
-        p, n = (1 - self.threshold_pct / 100) / 2, self.trees * self.deepest
-        return math.ceil(n * p + 4.75 * math.sqrt(n * p * (1 - p)))
-
 
 #: Where no contract sets other values: five words, similarity 0.8.
 FIVE_WORDS = NearRules(shingle=5, threshold_pct=80, depth=3)
@@ -102,17 +97,13 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def low_bits(sig: np.ndarray) -> bytes:
-    return np.packbits((sig & np.uint32(1)).astype(bool)).tobytes()
-
-
 def class_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, bits) of each document; node, its class, sig and bits (the signature's lowest
-    bits, eight bytes at a time) are null for an empty set."""
+    """(doc_id, n_shingles, node, sig, low) of each document; node, its class, sig and low (a byte of each of its
+    values) are null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(rules)
@@ -125,12 +116,12 @@ def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
-                    pa.array([None if s is None else np.frombuffer(low_bits(s), np.int64).tolist() for s in sigs], pa.list_(pa.int64())),
+                    pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sigs], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "sig", "bits"],
+                names=["doc_id", "n_shingles", "node", "sig", "low"],
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary, bits array<long>")
+    return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary, low binary")
 
 
 def region_rows(classes: DataFrame, depth: int, rules: NearRules) -> DataFrame:
@@ -149,17 +140,98 @@ def region_rows(classes: DataFrame, depth: int, rules: NearRules) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(rows, "parent long, region long, node binary")
 
 
-def alike(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose signatures agree enough."""
-    sig = classes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-            yield b.filter(pa.array((x == y).mean(1) >= rules.least_agreement)).select([0, 1])
-
-    return both.mapInArrow(agree, "a binary, b binary")
+def members(classes: DataFrame, rules: NearRules) -> DataFrame:
+    """(region, node, n) of the regions of two classes or more, n of them, each as deep as its size asks."""
+    depth, out = rules.depth, None
+    rows = region_rows(classes, depth, rules)
+    while True:
+        counts = rows.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = written(rows.select("region", "node").join(counts, "region"), "near-members")
+        last = depth == rules.deepest or not rows.filter(F.col("n") > rules.region).limit(1).count()
+        part = rows if last else rows.filter(F.col("n") <= rules.region)
+        out = part if out is None else out.union(part)
+        if last:
+            return out
+        depth += 1
+        large = rows.filter(F.col("n") > rules.region)
+        within = classes.join(large.select("node").distinct(), "node", "left_semi")
+        rows = region_rows(within, depth, rules).join(large.select(F.col("region").alias("parent")).distinct(), "parent", "left_semi")
+
+
+def dealt(rows: DataFrame, group: str, rules: NearRules) -> DataFrame:
+    """rows (group, node, n, ...) with `task`, the key to deal them by, and `unit`, what is compared as a whole: groups of
+    one block, many to a task, or two blocks of a larger group, so that any two of its rows meet in one unit."""
+    blocks = F.ceil(F.col("n") / rules.block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != own)
+    pairs = F.transform(others, lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    tasks = max(1, rows.count() // rules.bucket_rows)
+    rows = rows.withColumn("at", F.explode(F.when(blocks <= 1, alone).otherwise(pairs)))
+    key = F.when(F.col("n") <= rules.block, F.pmod(F.xxhash64(group), F.lit(tasks))).otherwise(F.xxhash64(group, "at"))
+    return rows.withColumns({"unit": F.xxhash64(group, "at"), "large": F.col("n") > rules.block, "task": key})
+
+
+def forest(m: int, near) -> list[tuple[int, int]]:
+    """Spanning forest of m things; near(u) says which others are linked to u."""
+    left, out = np.ones(m, bool), []
+    for root in range(m):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo and left.any():
+            u = todo.pop()
+            new = np.flatnonzero(near(u) & left)
+            left[new] = False
+            todo += new.tolist()
+            out += [(u, v) for v in new.tolist()]
+    return out
+
+
+def spanning(rows: DataFrame, value: str, link) -> DataFrame:
+    """(a, b): a spanning forest of each unit of rows, with links by link(values) -> near."""
+
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, unit in pdf.groupby("unit", sort=False):
+            nodes = unit["node"].tolist()
+            if len(nodes) > 1:
+                edges = forest(len(nodes), link(unit[value].tolist()))
+                a += [min(nodes[u], nodes[v]) for u, v in edges]
+                b += [max(nodes[u], nodes[v]) for u, v in edges]
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.groupBy("large", "task").applyInPandas(span, "a binary, b binary").distinct()
+
+
+def suspects(classes: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b): forests of classes whose signatures agree nearly enough."""
+
+    def link(lows: list[bytes]):
+        x = np.frombuffer(b"".join(lows), np.uint8).reshape(len(lows), -1)
+        least = rules.least_agreement * x.shape[1]
+        return lambda u: (x == x[u]).sum(1) >= least
+
+    rows = dealt(members(classes, rules), "region", rules).join(classes.select("node", "low"), "node")
+    return spanning(rows, "low", link)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs, by products of membership matrices over slices of the hashes that occur twice."""
+    m = len(sets)
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    often = np.cumsum(counts > 1) - 1
+    keep = counts[where] > 1
+    owner, column = owner[keep], often[where[keep]]
+    out, width = np.zeros((m, m), np.float32), max(1, min(8192, 4_000_000 // m))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        x = np.zeros((m, width), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        out += x @ x.T
+    return out
 
 
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
@@ -177,88 +249,27 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, rules: Near
     return held.mapInArrow(sets, "node binary, hashes binary").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= rules.threshold_pct * (len(x) + len(y) - shared))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+def confirmed(groups: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b): forests of the links between full sets within the groups (node, label)."""
 
-    return both.mapInArrow(hold, "a binary, b binary")
+    def link(found: list[bytes]):
+        sets = [np.frombuffer(x, np.uint64) for x in found]
+        sizes, shared = np.array([len(x) for x in sets]), shared_counts(sets).astype(np.int64)
+        return lambda u: 100 * shared[u] >= rules.threshold_pct * (sizes[u] + sizes - shared[u])
 
-
-def confirmed_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
-    close = written(alike(pairs, classes, rules), "near-close")
-    nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    return written(confirmed(close, written(full_sets(nodes, classes, docs, rules), "near-sets"), rules), "near-links")
-
-
-def crossing(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(region, node, label, bits, pairs) of the regions that hold several components; pairs: how many pairs of
-    classes lie in different ones."""
-    named = members.select("region", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = named.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region")
-    live = held.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")).filter("pairs > 0")
-    return named.join(live, "region").join(classes.select("node", "bits"), "node")
-
-
-def cross_pairs(rows: DataFrame, rules: NearRules) -> DataFrame:
-    """(a, b), a before b, of classes of one region in different components whose low bits are near enough."""
-    left, right = (rows.select("region", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
-    words = rules.trees * rules.deepest // 64
-    far = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(words)), F.lit(0))
-    return left.join(right, "region").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (far <= rules.most_bits)).select("a", "b")
-
-
-def proposals(members: DataFrame, labels: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
-    """The second round's pairs."""
-    rows, depth = written(crossing(members, labels, classes), "near-cross"), rules.depth
-    pairs = cross_pairs(rows.filter(F.col("pairs") <= rules.pairs), rules)
-    large = rows.filter(F.col("pairs") > rules.pairs)
-    while depth < rules.deepest and large.limit(1).count():
-        depth += 1
-        within = classes.join(large.select("node").distinct(), "node", "left_semi")
-        deeper = region_rows(within, depth, rules).join(large.select(F.col("region").alias("parent")).distinct(), "parent", "left_semi")
-        rows = written(crossing(deeper, labels, classes), "near-cross")
-        pairs = pairs.union(cross_pairs(rows.filter(F.col("pairs") <= rules.pairs), rules))
-        large = rows.filter(F.col("pairs") > rules.pairs)
-    if large.limit(1).count():
-        half = 4 * rules.deepest
-        turned = F.concat(F.expr(f"substring(sig, {half + 1})"), F.expr(f"substring(sig, 1, {half})"))
-        order = Window.partitionBy("region").orderBy(turned)
-        near = large.join(classes.select("node", "sig"), "node")
-        for k in (1, 2, 3):
-            step = near.select("node", "label", F.lead("node", k).over(order).alias("other"), F.lead("label", k).over(order).alias("other_label"))
-            pairs = pairs.union(step.filter("other_label != label").select(F.least("node", "other"), F.greatest("node", "other")))
-    return pairs.distinct()
+    counts = groups.groupBy("label").agg(F.count("*").alias("n"))
+    rows = dealt(written(groups.join(counts, "label"), "near-groups"), "label", rules).join(sets, "node")
+    return spanning(rows, "hashes", link)
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own
     included) and kept (whether that is its own)."""
     drawn = written(sketches(docs, rules), "near-sketches")
-    classes = written(drawn.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "near-classes")
-    regions = region_rows(classes, rules.depth, rules).select("region", "node")
-    leaders = regions.groupBy("region").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("region", "leader")
-    members = written(regions.join(leaders, "region"), "near-members")
-    stars = written(members.filter("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = confirmed_links(stars, classes, docs, rules)
-    labels = components(links)
-    rest = proposals(members, labels, classes, rules).join(stars, ["a", "b"], "left_anti")
-    more = confirmed_links(rest, classes, docs, rules)
-    if more.limit(1).count():
-        joined = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-        joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
-        merged = components(joined).toDF("label", "top")
-        known = labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        fresh = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-        labels = written(known.union(fresh), "near-labels")
+    classes = written(drawn.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("low").alias("low")), "near-classes")
+    groups = components(written(suspects(classes, rules), "near-suspects"))
+    sets = written(full_sets(groups.select("node"), classes, docs, rules), "near-sets")
+    labels = components(written(confirmed(groups, sets, rules), "near-links"))
     grouped = classes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_class = grouped.join(smallest, "label").select("node", "component_id")

@@ -378,7 +378,7 @@ def copies():
     return out + [(20, "A b C d"), (21, "a B c D"), (22, "a"), (23, "A"), (24, "a b"), (25, "É a b"), (26, "é a b")]
 
 
-@pytest.mark.parametrize("rules", [near_dedup.NearRules(), near_dedup.FIVE_WORDS])
+@pytest.mark.parametrize("rules", [near_dedup.NearRules(), near_dedup.NearRules(block=16, bucket_rows=50), near_dedup.FIVE_WORDS])
 def test_near_duplicates_equal_all_pairs(spark, rows, copies, rules):
     texts = [(r.doc_id, r.text) for r in rows] + copies + [(c[0], c[1]) for c in CASES if c[0] != 8]
     texts = [(None if i is None else i + 100_000 * (k >= len(rows)), t) for k, (i, t) in enumerate(texts)]
@@ -390,7 +390,7 @@ def test_near_duplicates_equal_all_pairs(spark, rows, copies, rules):
 
 def test_deeper_regions_link_nothing_false(spark, copies):
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    rules = near_dedup.NearRules(pairs=20)
+    rules = near_dedup.NearRules(region=20)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, rules).collect()}
     want = {d: c for d, _, c in plain_groups(copies, rules.shingle, rules.threshold_pct)}
     assert all(want[c] == want[d] for d, c in got.items()) and sum(got[d] == want[d] for d in got) > 0.8 * len(got)
