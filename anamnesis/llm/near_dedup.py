@@ -188,11 +188,12 @@ def forest(m: int, near) -> list[tuple[int, int]]:
 
 
 def spanning(rows: DataFrame, value: str, link) -> DataFrame:
-    """(a, b): a spanning forest of each unit of rows, with links by link(values) -> near."""
+    """(a, b): a spanning forest of each unit of rows, with links by link(values) -> near. Trees grow from the smallest
+    node, so units that overlap mostly give the same rows."""
 
     def span(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for _, unit in pdf.groupby("unit", sort=False):
+        for _, unit in pdf.sort_values("node").groupby("unit", sort=False):
             nodes = unit["node"].tolist()
             if len(nodes) > 1:
                 edges = forest(len(nodes), link(unit[value].tolist()))
