@@ -46,6 +46,10 @@ class MixRules:
     seed: int = 20240201
 
 
+#: Slots that a task lays out, about.
+TASK_SLOTS = 200_000
+
+
 def code_point_order(sources: Sequence[str | None]) -> list[str | None]:
     return sorted((s for s in sources if s is not None)) + [s for s in sources if s is None]
 
@@ -213,7 +217,8 @@ def slots(spark: SparkSession, sources: list[Source], rules: MixRules) -> DataFr
                 take[slot == s.slots - 1] = s.last_words
                 yield pd.DataFrame({"skey": "n" if s.name is None else "s" + s.name, "shard": shard, "slot": slot, "epoch": epoch, "block": block, "take": take})
 
-    dealt = shard_counts(spark, sources, rules)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s.slots for s in sources) // TASK_SLOTS)
+    dealt = shard_counts(spark, sources, rules).repartition(tasks, "number", "shard")  # few rows become many
     return dealt.mapInPandas(show, schema)
 
 
@@ -243,7 +248,8 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> Mix:
 
 def mixed_spans(m: Mix, rules: MixRules = MixRules()) -> DataFrame:
     """One row per output slot and document in it: which words (from, to) of the document stand at which slot."""
-    joined = spans(m.placed, rules.block_words).join(m.shown, ["skey", "block"]).filter("take > low")
+    # the slots come from a small table, so Spark would take them to be small as well, and broadcast them
+    joined = spans(m.placed, rules.block_words).join(m.shown.hint("merge"), ["skey", "block"]).filter("take > low")
     begin = F.col("block") * rules.block_words + F.col("low") - F.col("start")
     return joined.select("doc_id", "skey", "start", "size", "tie", "shard", "slot", "epoch", begin.alias("from"), (begin + F.least("high", "take") - F.col("low")).alias("to"))
 
@@ -252,11 +258,11 @@ def mix_report(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """One row per document: doc_id, size, its source's size and target, and the words that the mix takes of it."""
     m = mix(docs, rules)
     uses = m.shown.groupBy("skey", "block", "take").agg(F.count("*").alias("times"))
-    filled = spans(m.placed, rules.block_words).join(uses, ["skey", "block"])
+    filled = spans(m.placed, rules.block_words).join(uses.hint("merge"), ["skey", "block"])  # as in mixed_spans
     words = F.greatest(F.least("high", "take") - F.col("low"), F.lit(0)) * F.col("times")
     taken = filled.groupBy("skey", "start").agg(F.sum(words).alias("words"))
     names = docs.sparkSession.createDataFrame([("n" if s.name is None else "s" + s.name, s.size, s.target) for s in m.sources], "skey string, source_size long, target double")
-    sized = m.placed.filter("size > 0").join(taken, ["skey", "start"], "left").unionByName(m.placed.filter("size = 0"), allowMissingColumns=True)
+    sized = m.placed.filter("size > 0").join(taken.hint("merge"), ["skey", "start"], "left").unionByName(m.placed.filter("size = 0"), allowMissingColumns=True)
     rows = sized.join(F.broadcast(names), "skey")  # a row for each source, as the plan
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
