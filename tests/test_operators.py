@@ -320,10 +320,3 @@ def test_engine(spark, tmp_path):
     e.observe(["I live in Berlin because of work"])
     got = {r.qid: r.id for r in e.search(["do I have any allergies", "where do I live", "!!!"], k=1).collect()}
     assert got[0] == 1 and got[1] == 3 and 2 in got
-    assert {r.qid for r in e.search(["any allergies"], use_vectors=False).collect()} == set()
-    e.search(["tea"], k=1, reinforce=True)
-    assert e.store.read().filter("id = 2").first().access_count == 1
-    assert "allergic" in e.context(["allergic to peanuts"]).first().block
-    assert e.tick(consolidate=True).first().checked == 3
-    e.forget([1])
-    assert e.stats().first().live == 2
