@@ -319,4 +319,4 @@ def test_engine(spark, tmp_path):
     assert said == {1: "insert", 2: "insert", 3: "duplicate"}
     e.observe(["I live in Berlin because of work"])
     got = {r.qid: r.id for r in e.search(["do I have any allergies", "where do I live", "!!!"], k=1).collect()}
-    assert got[0] == 1 and got[1] == 3 and 2 in got
+    assert got[0] == 1 and got[1] == 3
