@@ -23,6 +23,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*(F.col(f"_{have.index(n)}").alias(n) for n in names))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... so that equal names cannot clash."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased; every other character as it is."""
     return F.translate(c, UPPER, UPPER.lower())

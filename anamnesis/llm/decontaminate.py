@@ -10,8 +10,10 @@ are scored. Retrieved items are then verified on the whole document: the share o
 five-word shingles of the item's question (all but its end) and of its answer (its end) that
 the document holds.
 
-Items are taken in groups of bounded size and each document is queried against all groups,
-so neither the index in a task nor the broadcast grows with the benchmark. Defined results:
+Items are taken in groups of bounded size. Each group has an index, a broadcast and a pass
+over the documents of its own, so neither what a task holds nor what is broadcast at once
+grows with the benchmark. Documents go through the index in stretches of bounded size, so
+neither grows with the longest document either. Defined results:
 null or empty items and documents without words match nothing; an item of fewer than ten
 words is question and answer at once; repeated documents and items are each judged; empty
 tables give empty results (no items: every document is clean); extra columns are ignored.
@@ -24,13 +26,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import pick, slices
+from anamnesis.llm.common import numbered, pick, slices, written
 
 #: ASCII characters that end a word, as a table for bytes; and the others, which only texts beyond ASCII have.
 _CUT = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
@@ -40,7 +43,9 @@ _ODD = re.compile(r"[^\w\x00-\x7F]+")
 @dataclass(frozen=True)
 class LeakRules:
     """threshold: of a segment's score against itself. overlap: least share of question and of answer shingles.
-    common: share of the segments above which a term is counted once in a passage by a matrix, not by its list."""
+    common: share of the segments above which a term is counted once in a passage by a matrix, not by its list.
+    items, item_bytes: size of a group of items, about (one larger item is a group's worth alone). cells: bounds of
+    a passage on a block that are held at once, about."""
 
     passage: int = 128
     threshold: float = 0.5
@@ -51,6 +56,8 @@ class LeakRules:
     k1: float = 1.2
     b: float = 0.75
     items: int = 5000
+    item_bytes: int = 4_000_000
+    cells: int = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,10 +121,29 @@ class Index:
         self.cover = cover
 
     def retrieved(self, docs: Sequence[list[bytes]]) -> dict[tuple[int, int], float]:
-        """{(document, item): best score} of all passages' segments above the threshold. docs: their words."""
-        rules, half, found = self.rules, self.rules.passage // 2, {}
+        """{(document, item): best score} of all passages' segments above the threshold. docs: their words. A document
+        longer than a stretch is cut into several, which overlap by the half passage that two of them share."""
+        half, found = self.rules.passage // 2, {}
         if not self.segments:
             return found
+        step = max(1, self.rules.cells // self.blocks)  # half passages of a stretch
+        batch, held = [], 0
+        for d, words in enumerate(docs):
+            for at in range(0, len(words), step * half):
+                part = words[at : at + (step + 1) * half]
+                batch.append((d, part))
+                held += -(-len(part) // half)
+                if held >= step:
+                    self._retrieve(batch, found)
+                    batch, held = [], 0
+        self._retrieve(batch, found)
+        return found
+
+    def _retrieve(self, parts: Sequence[tuple[int, list[bytes]]], found: dict[tuple[int, int], float]) -> None:
+        """Adds what the stretches (document, words) retrieve to found."""
+        if not parts:
+            return
+        rules, half, docs = self.rules, self.rules.passage // 2, [w for _, w in parts]
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         chunks = -(-lengths // half)
         base = np.concatenate([[0], np.cumsum(chunks)])
@@ -152,9 +178,8 @@ class Index:
                 terms, weights = self.segments[s]
                 score = float(weights[has[terms]].sum())
                 if score >= rules.threshold - 1e-9:
-                    k = (int(owner[window]), self.owner[s])
+                    k = (parts[int(owner[window])][0], self.owner[s])
                     found[k] = max(found.get(k, 0.0), score)
-        return found
 
     def verified(self, docs: Sequence[list[bytes]]) -> list[tuple[int, int, float, float, float]]:
         """(document, item_id, score, question share, answer share) of retrieved items that both shares confirm."""
@@ -175,42 +200,55 @@ def shingles_of(words: Sequence[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def indexes(benchmark: DataFrame, rules: LeakRules) -> list[Index]:
-    """An index for each group of about rules.items items."""
-    items = pick(benchmark, "item_id", "text")
-    groups = max(1, -(-items.count() // rules.items))
-    out = []
+def indexes(benchmark: DataFrame, rules: LeakRules) -> Iterator[Index]:
+    """An index for each group of items, one after the other: about rules.items of them and rules.item_bytes of text."""
+    items = pick(benchmark, "item_id", "text").filter("item_id is not null and text != ''")
+    n, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(-(-n // rules.items), -(-held // rules.item_bytes))
     for g in range(groups):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()  # a group's rows only
-        out.append(Index(sorted((r["item_id"], r["text"]) for r in rows if r["text"] and r["item_id"] is not None), rules))
-    return out
+        yield Index(sorted((r["item_id"], r["text"]) for r in rows), rules)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, score, question_overlap,
-    answer_overlap. Clean documents have no row. One pass over the texts, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(indexes(benchmark, rules))
+    answer_overlap. Clean documents have no row. One pass over the texts for each group of items, no shuffle."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    spark, texts = docs.sparkSession, pick(docs, "doc_id", "text")
+
+    def found(index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            ids, texts = b.column(0).to_pylist(), [words_of(t) for t in b.column(1).to_pylist()]
-            rows = [(ids[d], *rest) for index in shared.value for d, *rest in index.verified(texts)]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 256):
+                ids, words = b.column(0).to_pylist(), [words_of(t) for t in b.column(1).to_pylist()]
+                rows = [(ids[d], *rest) for d, *rest in shared.value.verified(words)]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return pick(docs, "doc_id", "text").mapInArrow(judge, schema)
+        return texts.mapInArrow(judge, schema)
+
+    parts = [found(index) for index in indexes(benchmark, rules)]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """docs without those in which an item was found; all columns and their order stay."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(indexes(benchmark, rules)), docs.columns.index("text")
+    """docs without those in which an item was found; all columns and their order stay. With several groups of items,
+    what each leaves is written as the next one's documents."""
+    spark, at, out = docs.sparkSession, docs.columns.index("text"), numbered(docs)
+    schema = out.schema
+
+    def clean(rows: DataFrame, index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 256):
+                hit = {d for d, *_ in shared.value.verified([words_of(t) for t in b.column(at).to_pylist()])}
+                yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            texts = [words_of(t) for t in b.column(at).to_pylist()]
-            hit = {d for index in shared.value for d, *_ in index.verified(texts)}
-            yield b.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
+        return rows.mapInArrow(judge, schema)
 
-    return docs.mapInArrow(judge, docs.schema)
+    for g, index in enumerate(indexes(benchmark, rules)):
+        out = clean(written(out, "leak-pass") if g else out, index)
+    return out.toDF(*docs.columns)

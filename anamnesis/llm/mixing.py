@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import n_words, pick, written
+from anamnesis.llm.common import n_words, numbered, pick, slices, written
 
 #: A 64-bit mixer's constants, and the rounds of the index permutations.
 _MIX1, _MIX2, ROUNDS = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 4
@@ -271,22 +272,22 @@ def mixed_documents(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each document and epoch that takes words of it.
     Where the epoch takes all its words the text is the document's own; else its runs of taken words, each as it
     stands in the text, joined by line ends, with n_chars (where there is one) set to the new length."""
-    columns, schema = docs.columns, docs.schema
+    columns, numbers = docs.columns, numbered(docs)
     m = mix(docs, rules)
     pieces = mixed_spans(m, rules).groupBy("doc_id", "skey", "size", "tie", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
     flat = [f"c{i}" for i in range(len(columns))]
     at = {n: flat[columns.index(n)] for n in ("doc_id", "source", "text")}
     key = {"skey": source_key(F.col(at["source"])), "size": n_words(F.col(at["text"])), "tie": F.xxhash64(at["text"]), "id": id_key(F.col(at["doc_id"]))}
-    keyed = docs.toDF(*flat).withColumns(key).filter("size > 0").groupBy(*key).agg(*(F.first(c).alias(c) for c in flat))  # repeated rows share a text
+    keyed = numbers.withColumns(key).filter("size > 0").groupBy(*key).agg(*(F.first(c).alias(c) for c in flat))  # repeated rows share a text
     joined = pieces.withColumn("id", id_key(F.col("doc_id"))).join(keyed, list(key)).select("runs", *flat)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
-        for b in batches:
-            texts, runs_of = b[f"c{text}"].tolist(), b["runs"].tolist()
+        for b in slices(batches):
+            texts, runs_of = b.column(text + 1).to_pylist(), b.column(0).to_pylist()
             for i, (t, runs) in enumerate(zip(texts, runs_of, strict=True)):
                 joined_runs: list[list[int]] = []
                 for r in runs:
@@ -297,11 +298,10 @@ def mixed_documents(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
                 where = [w.span() for w in word.finditer(t)]
                 if joined_runs != [[0, len(where)]]:
                     texts[i] = "\n".join(t[where[f][0] : where[e - 1][1]] for f, e in joined_runs)
-            b[f"c{text}"] = texts
+            cols = list(b.columns[1:])
+            cols[text] = pa.array(texts, cols[text].type)
             if chars is not None:
-                b[f"c{chars}"] = [len(t) for t in texts]
-            out = b.drop(columns="runs")
-            out.columns = columns
-            yield out
+                cols[chars] = pa.array([len(t) for t in texts], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=flat)
 
-    return joined.mapInPandas(cut, schema)
+    return joined.mapInArrow(cut, numbers.schema).toDF(*columns)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import pick, slices, texts_as_bytes, written
+from anamnesis.llm.common import numbered, pick, slices, texts_as_bytes, written
 from anamnesis.llm.components import components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
 def keep_one(docs: DataFrame, rules: NearRules = FIVE_WORDS) -> DataFrame:
     """docs with one document of each group; all columns and their order stay. Repeated rows of it count once."""
     columns = docs.columns
-    flat = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    flat = numbered(docs)
     key, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
     kept = near_duplicates(docs, rules).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     joined = flat.join(kept, flat[key].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anamnesis.llm.common import pick, slices, texts_as_bytes
+from anamnesis.llm.common import numbered, pick, slices, texts_as_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -137,7 +137,7 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """docs without those that the rules reject; all columns and their order stay."""
-    schema, at = docs.schema, docs.columns.index("text")
+    flat, at = numbered(docs), docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
             keep = [verdict(measure(t, rules.ngrams), rules)[1] for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(judge, schema)
+    return flat.mapInArrow(judge, flat.schema).toDF(*docs.columns)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from anamnesis.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality, secret_scan, sharding, token_counts, url_filter
 from anamnesis.llm.queries import HOSTILE, QUERIES
@@ -132,6 +133,17 @@ def test_mix_takes_each_target(docs, rows, hostile, nothing):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixed_hostile_documents(spark, hostile, nothing):
+    big = spark.createDataFrame([(2**60 + 1, "seven words of some big identity here", "en", "a", None, None)], SCHEMA)
+    table = hostile.union(big).withColumns({"x": F.lit(1)}).select("*", F.lit(2).alias("x"))
+    taken, got = Counter(), Counter()
+    for r in mixing.mix_report(table).collect():
+        taken[r.doc_id] += r.taken
+    for r in mixing.mixed_documents(table).collect():
+        got[r[0]] += len(words(r[1]))
+    assert got == Counter({k: v for k, v in taken.items() if v}) and got[2**60 + 1] and mixing.mixed_documents(nothing).count() == 0
+
+
 def test_mixed_documents_hold_the_words_taken(docs, rows):
     taken = {r.doc_id: r.taken for r in mixing.mix_report(docs).collect()}
     of, got = {r.doc_id: r.text for r in rows}, Counter()
@@ -182,7 +194,7 @@ def test_failed_matches_take_their_text():
 
 
 def test_ledger_scans_only_what_is_new(spark, hostile):
-    ledger = secret_scan.scan_unseen(hostile).localCheckpoint()
+    ledger = secret_scan.scan_unseen(hostile).cache()
     assert ledger.count() == len({c[1] or "" for c in CASES})
     assert secret_scan.scan_unseen(hostile, ledger).count() == 0
     more = hostile.select("doc_id", "text").union(spark.createDataFrame([(77, "password: hunter22")], "doc_id long, text string"))
@@ -319,7 +331,7 @@ def test_chats_read_back(spark, nothing):
     rows = real + [(None if c is None else 10_000 + c, *r) for c, *r in CHATS]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     want = plain_chat(rows)
-    windows = chat_format.chat_windows(df).localCheckpoint()
+    windows = chat_format.chat_windows(df).cache()
     got = {r.conv_id: r for r in chat_format.read_back(windows).collect()}
     assert set(got) == set(want)
     for c, r in got.items():
@@ -477,7 +489,14 @@ def test_leaks_equal_all_pairs(spark, rows, nothing, hostile):
     want = plain_leaks(texts, items)
     assert {(r.doc_id, r.item_id) for r in got} == want and {(7001, items[3][0]), (7003, 902), (7004, 903)} <= want
     small = decontaminate.LeakRules(items=10)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench, small).collect()} >= {(7001, items[3][0])}
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench, small).collect()} >= {(7001, items[3][0])}
+    several = decontaminate.LeakRules(item_bytes=sum(len(t or "") for _, t in items) // 2)
+    assert len(list(decontaminate.indexes(bench, several))) > 1
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench, several).collect()} == want
+    dirty = {d for d, _ in want}
+    doubled = table.select("*", F.lit(1).alias("x"), F.lit(2).alias("x"))
+    assert sorted(r[0] for r in decontaminate.keep_clean(doubled, bench, several).collect()) == sorted(d for d, _ in texts if d not in dirty)
     assert decontaminate.leaks(nothing, bench).count() == 0 and decontaminate.leaks(hostile, bench.limit(0)).count() == 0
     assert decontaminate.keep_clean(hostile, bench).count() == len(CASES)
 
@@ -499,6 +518,9 @@ def test_block_maxima_lose_nothing(rows):
                     want[d, index.owner[s]] = max(want.get((d, index.owner[s]), 0), score)
     got = index.retrieved(docs)
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    for cells in (1, 3 * index.blocks):  # stretches of one and three half passages
+        small = decontaminate.Index(items, decontaminate.LeakRules(cells=cells)).retrieved(docs)
+        assert set(small) == set(want) and all(small[k] == pytest.approx(want[k]) for k in want)
 
 
 # 10
@@ -526,6 +548,7 @@ def test_quality_equals_plain_counts(docs, rows, hostile, nothing):
         assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.dup_5gram_chars, r.dup_10gram_chars) for r in got) == want
         assert not any(r.kept and r.base_failed for r in got)
         assert quality.keep_good(df).count() == sum(r.kept for r in got)
+        assert quality.keep_good(df.select("*", F.lit(1).alias("x"), F.lit(2).alias("x"))).count() == sum(r.kept for r in got)
     assert quality.quality_report(nothing).count() == 0
 
 
