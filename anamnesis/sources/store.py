@@ -1,7 +1,8 @@
 """A store of memories as immutable Parquet versions with an atomic pointer.
 
-A version is a folder `v=<n>`; the file CURRENT names the one that counts. A writer finishes
-the folder before it moves the pointer, so a reader sees a whole version or the one before.
+A version is a folder `v=<n>`; an empty file CURRENT.<n> says that it is whole, and the greatest
+n counts. A writer finishes the folder before it makes that file, and no such file is ever
+deleted, so at any moment a reader sees a whole version or the one before.
 All access goes through Hadoop's file system, so a path may lie in any store Spark reads.
 """
 
@@ -43,10 +44,8 @@ class Store:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        found = self._fs.globStatus(self._path(f"{self.path}/CURRENT.*"))
+        return max((int(f.getPath().getName().split(".")[1]) for f in found or []), default=0)
 
     def read(self) -> DataFrame:
         n = self.version()
@@ -57,12 +56,7 @@ class Store:
     def write(self, rows: DataFrame) -> int:
         n = self.version() + 1
         migrated(rows).write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        new = self._path(f"{self.path}/CURRENT.{n}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(f"{n}\n".encode()))
-        out.close()
-        self._fs.delete(self._path(f"{self.path}/CURRENT"), False)
-        self._fs.rename(new, self._path(f"{self.path}/CURRENT"))
+        self._fs.create(self._path(f"{self.path}/CURRENT.{n}"), False).close()  # fails if another writer has made version n
         return n
 
     def change(self, by: Callable[[DataFrame], DataFrame]) -> int:

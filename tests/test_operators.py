@@ -46,7 +46,7 @@ def mem(spark):
         (5, "drank coffee", "event", None, 1.0, 1.0),
         (6, "prefers pnpm over npm and yarn", "preference", None, 1.0, 1.0),
         *NOTES,
-    ]).localCheckpoint()
+    ]).cache()
 
 
 def best(spark, mem, *asked):
@@ -320,3 +320,17 @@ def test_engine(spark, tmp_path):
     e.observe(["I live in Berlin because of work"])
     got = {r.qid: r.id for r in e.search(["do I have any allergies", "where do I live", "!!!"], k=1).collect()}
     assert got[0] == 1 and got[1] == 3
+
+
+def test_engine_sweeps_and_forgets(spark, tmp_path):
+    from anamnesis.api import MemoryEngine
+
+    e = MemoryEngine(spark, f"file://{tmp_path}/engine", now())
+    rows = [(1, "The user is allergic to peanuts", "fact", None, 1.0, 30.0), (2, "lives in London", "identity", "user.location", 1.0, 5.0), (3, "lives in Tokyo", "identity", "user.location", 1.0, 1.0), (4, "old gossip", "event", None, 0.2, 400.0), (5, " ", "event", None, 1.0, 0.0)]
+    e.store.write(store(spark, rows))
+    counts = e.tick().first()
+    assert (counts.checked, counts.decayed, counts.archived, counts.expired) == (5, 1, 1, 0)
+    e.forget([1])
+    gone = {r.id: r.archived_reason for r in e.store.read().filter("is_archived").collect()}
+    assert set(gone) == {1, 4} and gone[1] == "user_requested"
+    assert (e.stats().first().live, e.stats().first().archived) == (3, 2)
