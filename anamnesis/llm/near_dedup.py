@@ -3,15 +3,16 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets form one class,
 and classes are what is linked. Each class has a signature of trees x deepest minimum
 hashes; a tree orders the classes by its part of the signature, and the classes that share a
-prefix are a region of that order. The depth adapts to the region: one of more than `region`
-classes is split by the next value of the prefix, down to the deepest. Within a region the
-signatures are compared in blocks; a spanning forest of the pairs that agree nearly enough
+prefix of `depth` values are a region of that order. Every region is compared whole, however
+large: splitting one by a longer prefix would part pairs that share only the shorter one.
+Within a region the signatures are compared in blocks, larger ones in a region of more than
+`region` classes; a spanning forest of the pairs that agree nearly enough
 (4.75 standard deviations below the threshold count) leaves the task, never all pairs. Its
 components are the suspect groups. Each group's full sets are then compared in blocks, and a
 spanning forest of the true links leaves the task; its components are the result. So a
 group of any number of copies costs at most two rows for each copy and block, no link
 between different texts of a group is lost, and nothing about all documents reaches the
-driver. A pair at the threshold shares no region in any tree once in 100,000 times.
+driver. The comparisons within one region grow with its square. A pair at the threshold shares no region in any tree once in 100,000 times.
 
 Defined results: documents without words (null, empty, white space) have an empty set, are
 linked with nothing and are their own component; those with fewer words than a shingle have
@@ -43,7 +44,8 @@ _M = np.uint64(0xFF51AFD7ED558CCD)
 
 @dataclass(frozen=True)
 class NearRules:
-    """Links: 100 * intersection >= threshold_pct * union. depth: first prefix length of a region; deepest: the last."""
+    """Links: 100 * intersection >= threshold_pct * union. depth: prefix length of a region. deepest: signature
+    values of a tree. region: classes of a region above which its blocks are half of that, not `block`."""
 
     shingle: int = 3
     threshold_pct: int = 85
@@ -124,52 +126,42 @@ def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary, low binary")
 
 
-def region_rows(classes: DataFrame, depth: int, rules: NearRules) -> DataFrame:
-    """(parent, region, node): the regions of this depth, and those one value shallower, that each class lies in."""
+def region_rows(classes: DataFrame, rules: NearRules) -> DataFrame:
+    """(region, node): the region of each tree that each class lies in."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, rules.trees, rules.deepest).astype(np.uint64)
             key = np.tile(_mix(np.arange(1, rules.trees + 1, dtype=np.uint64) * _K), (len(sig), 1))
-            parent = key
-            for k in range(depth):
-                parent, key = key, _mix(key * _K + sig[:, :, k])
+            for k in range(rules.depth):
+                key = _mix(key * _K + sig[:, :, k])
             nodes = b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), rules.trees)))
-            yield pa.RecordBatch.from_arrays([pa.array(parent.ravel().view(np.int64)), pa.array(key.ravel().view(np.int64)), nodes.cast(pa.binary())], names=["parent", "region", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nodes.cast(pa.binary())], names=["region", "node"])
 
-    return classes.select("node", "sig").mapInArrow(rows, "parent long, region long, node binary")
+    return classes.select("node", "sig").mapInArrow(rows, "region long, node binary")
 
 
 def members(classes: DataFrame, rules: NearRules) -> DataFrame:
-    """(region, node, n) of the regions of two classes or more, n of them, each as deep as its size asks."""
-    depth, out = rules.depth, None
-    rows = region_rows(classes, depth, rules)
-    while True:
-        counts = rows.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = written(rows.select("region", "node").join(counts, "region"), "near-members")
-        last = depth == rules.deepest or not rows.filter(F.col("n") > rules.region).limit(1).count()
-        part = rows if last else rows.filter(F.col("n") <= rules.region)
-        out = part if out is None else out.union(part)
-        if last:
-            return out
-        depth += 1
-        large = rows.filter(F.col("n") > rules.region)
-        within = classes.join(large.select("node").distinct(), "node", "left_semi")
-        rows = region_rows(within, depth, rules).join(large.select(F.col("region").alias("parent")).distinct(), "parent", "left_semi")
-
-
-def dealt(rows: DataFrame, group: str, rules: NearRules) -> DataFrame:
+    """(region, node, n) of the regions of two classes or more, n of them."""
+    rows = region_rows(classes, rules)
+    counts = rows.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
+    return written(rows.join(counts, "region"), "near-members")
+
+
+def dealt(rows: DataFrame, group: str, rules: NearRules, region: int | None = None) -> DataFrame:
     """rows (group, node, n, ...) with `task`, the key to deal them by, and `unit`, what is compared as a whole: groups of
-    one block, many to a task, or two blocks of a larger group, so that any two of its rows meet in one unit."""
-    blocks = F.ceil(F.col("n") / rules.block).cast("int")
+    one block, many to a task, or two blocks of a larger group, so that any two of its rows meet in one unit. Groups of
+    more than `region` rows, if given, have blocks of half of that."""
+    block = F.lit(rules.block) if region is None else F.when(F.col("n") > region, F.lit(max(1, region // 2))).otherwise(F.lit(rules.block))
+    blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != own)
     pairs = F.transform(others, lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     tasks = max(1, rows.count() // rules.bucket_rows)
     rows = rows.withColumn("at", F.explode(F.when(blocks <= 1, alone).otherwise(pairs)))
-    key = F.when(F.col("n") <= rules.block, F.pmod(F.xxhash64(group), F.lit(tasks))).otherwise(F.xxhash64(group, "at"))
-    return rows.withColumns({"unit": F.xxhash64(group, "at"), "large": F.col("n") > rules.block, "task": key})
+    key = F.when(blocks <= 1, F.pmod(F.xxhash64(group), F.lit(tasks))).otherwise(F.xxhash64(group, "at"))
+    return rows.withColumns({"unit": F.xxhash64(group, "at"), "large": blocks > 1, "task": key})
 
 
 def forest(m: int, near) -> list[tuple[int, int]]:
@@ -212,7 +204,7 @@ def suspects(classes: DataFrame, rules: NearRules) -> DataFrame:
         least = rules.least_agreement * x.shape[1]
         return lambda u: (x == x[u]).sum(1) >= least
 
-    rows = dealt(members(classes, rules), "region", rules).join(classes.select("node", "low"), "node")
+    rows = dealt(members(classes, rules), "region", rules, rules.region).join(classes.select("node", "low"), "node")
     return spanning(rows, "low", link)
 
 

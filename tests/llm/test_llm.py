@@ -408,6 +408,29 @@ def test_deeper_regions_link_nothing_false(spark, copies):
     assert all(want[c] == want[d] for d, c in got.items()) and sum(got[d] == want[d] for d in got) > 0.8 * len(got)
 
 
+def test_large_regions_lose_no_pair(spark):
+    rules, rng = near_dedup.NearRules(shingle=5, threshold_pct=80, depth=3, region=40), random.Random(7)
+    base, texts = [f"t{i}" for i in range(150)], []
+    for i in range(100):  # one template: regions of more than 40 classes, whose pairs share few long prefixes
+        w = list(base)
+        for _ in range(rng.randint(2, 4)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 10**6)}"
+        texts.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = near_dedup.sketches(df, rules).cache()
+    held = near_dedup.members(classes, rules).collect()
+    assert max(r.n for r in held) > rules.region
+    at, rows = defaultdict(set), classes.collect()
+    for r in held:
+        at[bytes(r.node)].add(r.region)
+    sig = {bytes(r.node): np.frombuffer(r.sig, np.uint32).reshape(rules.trees, rules.deepest)[:, : rules.depth] for r in rows}
+    for a in sig:
+        for b in sig:  # whoever shares a prefix of the first depth in a tree meets in a region
+            assert a == b or bool(at[a] & at[b]) == bool((sig[a] == sig[b]).all(1).any())
+    got = near_dedup.near_duplicates(df, rules).collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter(plain_groups(texts, rules.shingle, rules.threshold_pct))
+
+
 def test_near_duplicates_of_nothing_and_keep_one(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0 and near_dedup.keep_one(nothing).count() == 0
     kept = near_dedup.keep_one(docs.union(docs))
