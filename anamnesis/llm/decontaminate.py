@@ -6,9 +6,12 @@ A segment's BM25 weights are divided by its score against itself; a passage retr
 segment that scores `threshold` or more. As in block-max WAND, segments are filed in blocks
 with the greatest weight of each term in a block: the sum of a passage's block maxima bounds
 what any segment of the block can score, and only blocks whose bound reaches the threshold
-are scored. Retrieved items are then verified on the whole document: the share of the
-five-word shingles of the item's question (all but its end) and of its answer (its end) that
-the document holds.
+are scored. Retrieved items are then verified on the whole document. It holds an item if it
+holds half of the item's five-word shingles, or half of those of its question (all but its
+end) and of its answer (its end) each. Items of fewer than 14 words have too few shingles for
+that: from five words on, they are also found if a stretch of the document is within one
+word (changed, added or left out) of them. So one changed word, wherever it stands, hides no
+item that was retrieved, and neither does a missing last quarter of an item of eight words or more.
 
 Items are taken in groups of bounded size. Each group has an index, a broadcast and a pass
 over the documents of its own, so neither what a task holds nor what is broadcast at once
@@ -42,7 +45,7 @@ _ODD = re.compile(r"[^\w\x00-\x7F]+")
 
 @dataclass(frozen=True)
 class LeakRules:
-    """threshold: of a segment's score against itself. overlap: least share of question and of answer shingles.
+    """threshold: of a segment's score against itself. overlap: least share of the item's shingles, or of question and of answer shingles.
     common: share of the segments above which a term is counted once in a passage by a matrix, not by its list.
     items, item_bytes: size of a group of items, about (one larger item is a group's worth alone). cells: bounds of
     a passage on a block that are held at once, about."""
@@ -115,9 +118,10 @@ class Index:
         self.block_of, self.top = np.array([b for _, b, _ in rest], np.int64), np.array([x for _, _, x in rest])
         cover = []
         for _, w in self.items:
+            whole = [tuple(w[i : i + rules.shingle]) for i in range(len(w) - rules.shingle + 1)]
             end = max(rules.shingle, len(w) // 4)
             question, answer = (w[:-end], w[-end:]) if len(w) >= 2 * rules.shingle else (w, w)
-            cover.append((shingles(question, rules.shingle), shingles(answer, rules.shingle)))
+            cover.append((shingles(question, rules.shingle), shingles(answer, rules.shingle), whole))
         self.cover = cover
 
     def retrieved(self, docs: Sequence[list[bytes]]) -> dict[tuple[int, int], float]:
@@ -182,16 +186,19 @@ class Index:
                     found[k] = max(found.get(k, 0.0), score)
 
     def verified(self, docs: Sequence[list[bytes]]) -> list[tuple[int, int, float, float, float]]:
-        """(document, item_id, score, question share, answer share) of retrieved items that both shares confirm."""
+        """(document, item_id, score, question share, answer share) of retrieved items that the document holds."""
         out, held, last = [], set(), -1
         for (d, k), score in sorted(self.retrieved(docs).items()):
-            question, answer = self.cover[k]
+            question, answer, whole = self.cover[k]
             if d != last:
                 held, last = shingles(docs[d], self.rules.shingle), d
             sizes = {len(s) for part in (question, answer) for s in part}
             own = held if sizes == {self.rules.shingle} else held.union(*(shingles_of(docs[d], n) for n in sizes))
             q, a = len(question & own) / len(question), len(answer & own) / len(answer)
-            if q >= self.rules.overlap and a >= self.rules.overlap:
+            holds = q >= self.rules.overlap and a >= self.rules.overlap
+            holds = holds or bool(whole) and sum(s in held for s in whole) >= self.rules.overlap * len(whole)
+            words = self.items[k][1]
+            if holds or self.rules.shingle <= len(words) < 3 * self.rules.shingle - 1 and within_one_word(docs[d], words):
                 out.append((d, self.items[k][0], score, q, a))
         return out
 
@@ -200,6 +207,28 @@ def shingles_of(words: Sequence[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def within_one_word(words: Sequence[bytes], item: Sequence[bytes]) -> bool:
+    """Whether a stretch of words is the item with at most one word changed, added or left out."""
+    n, where = len(item), {}
+    for p, w in enumerate(words):
+        where.setdefault(w, []).append(p)
+    for cut in range(n):  # all before the word at cut, and all after it, stand as they are
+        head, tail = list(item[:cut]), list(item[cut + 1 :])
+        first = tail[0] if not head else head[0]
+        for p in where.get(first, ()):
+            if not head:
+                starts = (p,)  # the first word is another or missing
+            elif list(words[p : p + cut]) != head:
+                continue
+            else:
+                starts = (p + cut, p + cut + 1)  # the word left out, or another in its place
+                if list(words[p + cut + 1 : p + 1 + n]) == list(item[cut:]):  # one added before it
+                    return True
+            if any(list(words[s : s + len(tail)]) == tail for s in starts):
+                return True
+    return False
+
+
 def indexes(benchmark: DataFrame, rules: LeakRules) -> Iterator[Index]:
     """An index for each group of items, one after the other: about rules.items of them and rules.item_bytes of text."""
     items = pick(benchmark, "item_id", "text").filter("item_id is not null and text != ''")

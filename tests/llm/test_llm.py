@@ -524,6 +524,23 @@ def test_leaks_equal_all_pairs(spark, rows, nothing, hostile):
     assert decontaminate.keep_clean(hostile, bench).count() == len(CASES)
 
 
+@pytest.mark.parametrize("n", [5, 7, 9, 10, 13, 14, 15, 20, 27, 38, 59, 100])
+def test_edited_and_cut_items_are_found(n):
+    own = [f"q{n}w{i}" for i in range(n)]
+    index = decontaminate.Index([(1, " ".join(own)), (2, "other text " * 9)], decontaminate.LeakRules())
+    around = [f"a{i}" for i in range(40)]
+    edits = [own]
+    for i in range(n):
+        edits += [own[:i] + ["changed"] + own[i + 1 :], own[:i] + own[i + 1 :], own[:i] + ["added"] + own[i:]]
+    if n >= 8:
+        edits += [own[: n - n // 4], own[n // 4 :]]
+    docs = [decontaminate.words_of(" ".join(around + e + around)) for e in edits]
+    assert {d for d, item, *_ in index.verified(docs) if item == 1} == set(range(len(docs)))
+    apart = [w for x in own for w in (x, "between")]  # its words alone, never two in a row
+    far = [decontaminate.words_of(" ".join(around + e + around)) for e in (own[: n // 3], apart, own[::-1])]
+    assert not index.verified(far)
+
+
 def test_block_maxima_lose_nothing(rows):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(60)]
