@@ -485,7 +485,7 @@ def merge_bands(spark, d):
 def greedy_merge_plan(spark, d):
     """Rows only: a greedy choice. Tests hold it against plain Python."""
     mem = scans.live(memories(spark, d)).withColumn("ident", text.identity_tokens(c("text")))
-    pairs = similarity.token_pairs(mem.select("id", "text"), 0.58)
+    pairs = similarity.class_pairs(mem, 0.58)
     return similarity.merge_plan(mem.select("id", "memory_type", "subject", "ident"), pairs).withColumn("score", F.round("score", 6))
 
 

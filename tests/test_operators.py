@@ -158,6 +158,20 @@ def test_merge_plan_is_greedy_and_respects_identity(spark):
     assert got == {(1, 2, "merge"), (1, 3, "ask")}
 
 
+def test_class_pairs_give_the_plan_of_all_pairs(spark):
+    from itertools import product
+
+    near = ["user likes strong black coffee every morning", "user likes strong black coffee each morning", "User likes strong, black coffee every morning!", "user likes strnog black coffee every mornings", "deploys run from the main branch on fridays", "deploys run from the main branch on friday"]
+    made = [(t, kind, s) for t, kind, s in product(near, ("x", "y"), (None, None, "s"))]
+    made = [(1, near[0], "x", None), (2, near[0], "y", None), (3, near[3], "y", None), (4, near[0], "y", None)] + [(10 + i * 7 % 36, *m) for i, m in enumerate(made)]
+    rows = spark.createDataFrame(made, "id long, text string, memory_type string, subject string").withColumn("ident", text.identity_tokens(F.col("text")))
+    items = rows.select("id", "memory_type", "subject", "ident")
+    plan = lambda pairs: {(r.keep, r.drop, round(r.score, 9), r.action) for r in similarity.merge_plan(items, pairs).collect()}
+    got = plan(similarity.class_pairs(rows, 0.58))
+    assert got == plan(similarity.similar_pairs(rows.select("id", "text"), 0.58))
+    assert (2, 4, 1.0, "merge") in got and any(r[:2] == (2, 3) for r in got)
+
+
 def test_merged_and_retargeted(spark):
     work_dir(spark)
     plan = spark.createDataFrame([(1, 2, "merge"), (2, 3, "merge")], "keep long, drop long, action string")
