@@ -3,10 +3,11 @@
 Items are cut into segments of at most half a passage, so that a segment that occurs in a
 document lies whole in one of its passages (windows of `passage` words, half overlapping).
 A segment's BM25 weights are divided by its score against itself; a passage retrieves every
-segment that scores `threshold` or more. As in block-max WAND, segments are filed in blocks
+segment that scores `threshold` or more. Segments are filed in blocks
 with the greatest weight of each term in a block: the sum of a passage's block maxima bounds
 what any segment of the block can score, and only blocks whose bound reaches the threshold
-are scored. Retrieved items are then verified on the whole document. It holds an item if it
+are scored. The bounds are those of block-max WAND; its traversal by pivots is replaced by sums
+over all blocks. Retrieved items are then verified on the whole document. It holds an item if it
 holds half of the item's five-word shingles, or half of those of its question (all but its
 end) and of its answer (its end) each. Items of fewer than 14 words have too few shingles for
 that: from five words on, they are also found if a stretch of the document is within one
