@@ -18,7 +18,7 @@ Items are taken in groups of bounded size. Each group has an index, a broadcast
 over the documents of its own, so neither what a task holds nor what is broadcast at once
 grows with the benchmark. Documents go through the index in stretches of bounded size, so
 neither grows with the longest document either. Defined results:
-null or empty items and documents without words match nothing; an item of fewer than ten
+items of null or empty text and documents without words match nothing; an item with a null item_id counts like others; an item of fewer than ten
 words is question and answer at once; repeated documents and items are each judged; empty
 tables give empty results (no items: every document is clean); extra columns are ignored.
 """
@@ -232,12 +232,12 @@ def within_one_word(words: Sequence[bytes], item: Sequence[bytes]) -> bool:
 
 def indexes(benchmark: DataFrame, rules: LeakRules) -> Iterator[Index]:
     """An index for each group of items, one after the other: about rules.items of them and rules.item_bytes of text."""
-    items = pick(benchmark, "item_id", "text").filter("item_id is not null and text != ''")
+    items = pick(benchmark, "item_id", "text").filter("text != ''")
     n, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(-(-n // rules.items), -(-held // rules.item_bytes))
     for g in range(groups):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()  # a group's rows only
-        yield Index(sorted((r["item_id"], r["text"]) for r in rows), rules)
+        yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda i: (i[0] is None, i[0] or 0, i[1])), rules)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:

@@ -541,6 +541,14 @@ def test_edited_and_cut_items_are_found(n):
     assert not index.verified(far)
 
 
+def test_items_without_an_id_count(spark):
+    text = " ".join(f"k{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, text), (None, "b " * 9), (3, "a " * 9), (4, None)], "item_id long, text string")
+    table = spark.createDataFrame([(1, f"x {text} y"), (2, "clean")], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.leaks(table, bench).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontaminate.keep_clean(table, bench).collect()] == [2]
+
+
 def test_block_maxima_lose_nothing(rows):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(60)]
