@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the six ASCII white-space characters. bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,12 +50,38 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/anamnesis-work"
 
 
+#: Tables that written() made and nothing has deleted, by path.
+_tables: set[str] = set()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing. Whoever has
+    replaced the table by a later one calls discard(); clear() deletes all others once results are saved."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _tables.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.work_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that is left. Results that are not saved yet read some of them, so save first."""
+    for path in list(_tables):
+        _delete(spark, path)
 
 
 def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
@@ -63,6 +90,19 @@ def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | No
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+#: Bytes of an Arrow batch on its way to Python, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, judge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in a session whose batches are at most BATCH_BYTES where Spark's default would be eight times
+    that: a worker holds its batch, what is cut from it and Python objects of a slice. Another bound of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(judge, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that Python objects of one slice only are alive."""
     for b in batches:

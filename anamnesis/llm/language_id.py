@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import pick, slices, texts_as_bytes
+from anamnesis.llm.common import in_arrow, pick, slices, texts_as_bytes
 
 UNKNOWN = "und"
 
@@ -241,4 +241,4 @@ def identify(docs: DataFrame, rules: GruRules = GruRules()) -> DataFrame:
                     label[i], score[i] = reader.labels[k], min(1.0, float(s))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, schema)
+    return in_arrow(rows, judge, schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import numbered, pick, slices, texts_as_bytes, written
+from anamnesis.llm.common import in_arrow, numbered, pick, slices, texts_as_bytes, written
 from anamnesis.llm.components import components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
                 names=["doc_id", "n_shingles", "node", "sig", "low"],
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, node binary, sig binary, low binary")
+    return in_arrow(pick(docs, "doc_id", "text"), sketch, "doc_id long, n_shingles long, node binary, sig binary, low binary")
 
 
 def region_rows(classes: DataFrame, rules: NearRules) -> DataFrame:
@@ -138,7 +138,7 @@ def region_rows(classes: DataFrame, rules: NearRules) -> DataFrame:
             nodes = b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), rules.trees)))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nodes.cast(pa.binary())], names=["region", "node"])
 
-    return classes.select("node", "sig").mapInArrow(rows, "region long, node binary")
+    return in_arrow(classes.select("node", "sig"), rows, "region long, node binary")
 
 
 def members(classes: DataFrame, rules: NearRules) -> DataFrame:
@@ -239,7 +239,7 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, rules: Near
             same = [class_of(s) == n for s, n in zip(found, b.column(0).to_pylist(), strict=True)]  # ids may repeat over other texts
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "hashes"]).filter(pa.array(same, pa.bool_()))
 
-    return held.mapInArrow(sets, "node binary, hashes binary").dropDuplicates(["node"])
+    return in_arrow(held, sets, "node binary, hashes binary").dropDuplicates(["node"])
 
 
 def confirmed(groups: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anamnesis.llm.common import numbered, pick, slices, texts_as_bytes
+from anamnesis.llm.common import in_arrow, numbered, pick, slices, texts_as_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -132,7 +132,7 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
             cols += [pa.array([x[i] for x in said], pa.bool_()) for i in range(2)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], names=["doc_id", *counts, "base_failed", "kept"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(judge, schema)
+    return in_arrow(pick(docs, "doc_id", "text"), judge, schema)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
             keep = [verdict(measure(t, rules.ngrams), rules)[1] for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return flat.mapInArrow(judge, flat.schema).toDF(*docs.columns)
+    return in_arrow(flat, judge, flat.schema).toDF(*docs.columns)

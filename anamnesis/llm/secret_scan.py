@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import pick, slices, written
+from anamnesis.llm.common import in_arrow, pick, slices, written
 
 FINDINGS = "array<struct<rule: string, version: string, start: int, end: int>>"
 LEDGER = f"blob binary, scanned array<string>, findings {FINDINGS}"
@@ -112,7 +112,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: Seq
                 found.append(scanners[k].find(t))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(todo, pa.list_(pa.string())), pa.array(found, kind)], names=["blob", "scanned", "findings"])
 
-    return blobs.select("blob", "text", "todo").mapInArrow(scan, LEDGER)
+    return in_arrow(blobs.select("blob", "text", "todo"), scan, LEDGER)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -10,7 +10,9 @@ buckets level that and stay in step without meeting.
 
 Law `bytes`: shard sizes near equal. Defined results: a null or empty text has size 1 and
 equal texts include all null and empty ones; repeated rows stay in one group and each gets a
-slot; an empty table gives an empty result; extra columns are ignored.
+slot; a very long text is a group like others; an empty table gives an empty result; extra columns are ignored.
+Copies of one text meet in the join that gives them their group's shard: rows of five narrow columns, in a join that
+adaptive execution splits where they are many.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import pick, written
+from anamnesis.llm.common import numbered, pick, written
 
 #: Groups above 1 / LARGE of all bytes are differenced before all others; there are fewer than LARGE.
 LARGE = 8192
@@ -106,17 +108,12 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     return first.select("key", "shard").union(dealt)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """One row per document: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot
-    (from 0 without gaps in each shard, by doc_id within hash buckets) and grown_shard (null)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = pick(docs, "doc_id", "text").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key")
-    )
-    rows = written(rows, "shard-rows")
+def sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """(row, doc_id, size, text_crc32, law, shard, slot, grown_shard) of written rows (row, doc_id, size, text_crc32, key)."""
+    rows = rows.select("row", "doc_id", "size", "text_crc32", "key")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     buckets = max(64, rows.count() // (SLOT_ROWS * shards))
-    placed = rows.join(assign_groups(groups, shards), "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    placed = rows.join(assign_groups(groups, shards), "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
     placed = written(placed.drop("key"), "shard-placed")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,4 +121,32 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     slotted = placed.withColumn("at", F.row_number().over(within)).join(firsts, ["shard", "bucket"])
     slot = (F.col("first") + F.col("at") - 1).cast("long")
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return slotted.select("row", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def measured(docs: DataFrame, doc_id: str, text: str, *also: str) -> DataFrame:
+    """(row, doc_id, size, text_crc32, key, *also) of each row, written once, so that its number stays the same."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    size, crc, key = (F.octet_length(t) + 1).cast("long"), F.crc32(t.cast("binary")), F.unhex(F.sha2(t, 256))
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), key.alias("key"), *also), "shard-rows")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """One row per document: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot
+    (from 0 without gaps in each shard, by doc_id within hash buckets) and grown_shard (null)."""
+    return sharded(measured(pick(docs, "doc_id", "text"), "doc_id", "text"), shards).drop("row")
+
+
+def with_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """docs with all their columns, and size, text_crc32, law, shard and slot of each row. A column of docs that has one of
+    these names in any case gives way, and of equal names the first counts."""
+    numbers, added = numbered(docs), ("size", "text_crc32", "law", "shard", "slot")
+    own = ("doc_id", "text")
+    first = {n: docs.columns.index(n) for n in own}
+    for i, n in enumerate(docs.columns):
+        if n.lower() not in (*added, *own):
+            first.setdefault(next((x for x in first if x.lower() == n.lower()), n), i)
+    names = {n: f"c{i}" for n, i in sorted(first.items(), key=lambda x: x[1])}
+    rows = measured(numbers, names["doc_id"], names["text"], *names.values())
+    placed = sharded(rows, shards).select("row", *added)
+    return rows.select("row", *(F.col(c).alias(n) for n, c in names.items())).join(placed, "row").select(*names, *added)

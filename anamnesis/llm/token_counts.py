@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anamnesis.llm.common import pick, slices
+from anamnesis.llm.common import in_arrow, pick, slices
 
 MARK = "▁"
 #: Where the vocabulary lies unless the caller names another file.
@@ -151,4 +151,4 @@ def token_counts(docs: DataFrame, vocabulary: Unigram) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], names=["doc_id", "n_pretokens", "n_tokens", "n_fallback"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long, n_fallback long")
+    return in_arrow(pick(docs, "doc_id", "text"), count, "doc_id long, n_pretokens long, n_tokens long, n_fallback long")
