@@ -7,9 +7,9 @@ documents, so a lost executor costs a part of one stage only. Stage by stage:
 2. near_dedup: one document of each group of near-duplicates stays (five-word shingles, similarity 0.8).
 3. decontaminate: documents that hold a benchmark item go.
 4. mix: sources are mixed to their target weights; a row for each document and epoch, with the words taken of it.
-5. shard: every row gets a shard of near equal bytes.
+5. shard: every row gets a shard of near equal bytes and its slot there, beside the columns of documents.
 
-All but the last return the columns of documents; null texts fail the first stage.
+All but the last return the columns of documents alone; null texts fail the first stage.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from anamnesis.llm.decontaminate import keep_clean
 from anamnesis.llm.mixing import mixed_documents
 from anamnesis.llm.near_dedup import keep_one
 from anamnesis.llm.quality import keep_good
-from anamnesis.llm.sharding import shard_documents
+from anamnesis.llm.sharding import with_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs)
+    return with_shards(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
