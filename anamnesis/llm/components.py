@@ -1,13 +1,15 @@
 """Connected components of a link table, by label propagation with pointer jumping.
 
-Links and labels stay distributed; every round is a written table in the shared folder."""
+Links and labels stay distributed; every round is a written table in the shared folder, and
+replaces the one before. Nodes of one component meet in the join on their label: rows of two
+narrow columns, in a join that adaptive execution splits where they are many."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import written
+from anamnesis.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,8 +20,11 @@ def components(links: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = written(near.join(up, "label").select("node", "old", F.least("label", "further").alias("label")), "cc-labels")
-        changed = labels.filter(F.col("old") != F.col("label")).limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
+        after = written(near.join(up, "label").select("node", "old", F.least("label", "further").alias("label")), "cc-labels")
+        discard(labels)
+        moved = after.filter(F.col("old") != F.col("label")).limit(1).count()
+        labels = after.select("node", "label")
+        labels.work_path = after.work_path
+        if not moved:
+            discard(both)
             return labels
