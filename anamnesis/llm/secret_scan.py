@@ -115,6 +115,20 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: Seq
     return in_arrow(blobs.select("blob", "text", "todo"), scan, LEDGER)
 
 
+def scan_into(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The ledger kept under path, after it has got what versions lacked in it."""
+    spark = versions.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    begun = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    ledger = spark.read.schema(LEDGER).parquet(path) if begun else None
+    scan_unseen(versions, ledger, rules).write.mode("append" if begun else "overwrite").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+#: Parts that the copies of a text with findings are dealt to.
+SALT = 8
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(doc_id, blob, findings) of every row of versions: what the ledger's current rule versions found, by start, then rule as listed."""
     paths = pick(versions, "doc_id", "text").select("doc_id", blob_of(F.col("text")).alias("blob"))
@@ -123,18 +137,20 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rul
     ordered = F.array_sort(
         F.array_distinct(F.transform(current, lambda f: F.struct(f["start"].alias("start"), F.element_at(rank, F.concat(f["rule"], F.lit("@"), f["version"])).alias("rank"), f["end"].alias("end"), f["rule"].alias("rule"))))
     )
-    known = ledger.groupBy("blob").agg(F.collect_list("findings").alias("all")).select("blob", ordered.alias("findings"))
-    return paths.join(known, "blob").select("doc_id", "blob", "findings")
+    known = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.collect_list("findings").alias("all")).select("blob", ordered.alias("findings"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # few blobs have findings, many paths may share one
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    return paths.join(known, ["blob", "salt"], "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast("array<struct<start: int, rank: int, end: int, rule: string>>")).alias("findings"))
 
 
 def spans_text(findings):
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["rule"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """One row per document: doc_id, the counts of the base kinds, the digest of the base spans and all spans as text."""
-    fresh = written(scan_unseen(docs, ledger), "secret-ledger")
-    found = findings_by_path(docs, fresh if ledger is None else ledger.unionByName(fresh))
+def secret_report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """One row per document: doc_id, the counts of the base kinds, the digest of the base spans and all spans as text.
+    ledger: the path of one to read and keep; without it all texts are scanned."""
+    found = findings_by_path(docs, written(scan_unseen(docs), "secret-ledger") if ledger is None else scan_into(docs, ledger))
     base = [r.name for r in BASE_RULES]
 
     def count(name: str):
