@@ -2,10 +2,11 @@
 
 Prefix sums of the turns' tokens cut a conversation into cells of the budget; a window holds
 the whole turns that end in a cell. A turn that begins in an earlier cell stays with its
-cell if all fits the budget, else it has a window of its own, so a window exceeds the budget
-only where a single turn does. Every window begins with the conversation's system turn and
-a limited history, the turns just before it; both are repeated and masked, so each
-assistant turn is a target once.
+cell if all fits the budget, else it has a window of its own. Every window begins with the
+conversation's system turn and a limited history, the turns just before it; both are repeated
+and masked, so each assistant turn is a target once. Cells and history share what the system
+turn leaves, and a history takes no more than its window's own turns leave, so a window
+exceeds the budget only where the system turn and a single turn together do.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Within roles and texts `&`
 becomes `&amp;` and `<|` becomes `&lt;|` (and a role's line end `&#10;`), so no text can end
@@ -13,7 +14,9 @@ or begin a turn and reading back is exact.
 
 Defined results: null roles and texts are empty; rows are ordered by turn (null first), then
 role, then text, and repeated rows are turns of their own; a null conv_id is a conversation;
-an empty table gives an empty result; extra columns are ignored.
+a very long text is a turn like others, whole in one window; a conversation is one row of
+read_back, as its digest is over all its turns, and so one task's; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 @dataclass(frozen=True)
 class ChatRules:
-    """budget: tokens of a window. A turn has its words and `marks` tokens. history: turns and tokens repeated at most."""
+    """budget: tokens of a window. A turn has its words and `marks` tokens. history: turns and tokens repeated at most,
+    and half of what the system turn leaves at most."""
 
     budget: int = 512
     marks: int = 4
@@ -74,8 +78,9 @@ def chat_windows(conversations: DataFrame, rules: ChatRules = ChatRules()) -> Da
     rows = rows.withColumn("body", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
     first = F.max(F.when(F.col("system"), F.struct("role", "text", "tokens"))).over(so_far)  # it stands first
     rows = rows.withColumns({"kept": first, "upto": F.sum("body").over(so_far)})
-    room = F.greatest(F.lit(rules.budget - rules.history_tokens) - F.coalesce("kept.tokens", F.lit(0)), F.lit(rules.history_tokens))
-    rows = rows.withColumn("room", room).withColumn("before", F.col("upto") - F.col("body"))
+    rows = rows.withColumn("left", F.greatest(F.lit(0), F.lit(rules.budget) - F.coalesce("kept.tokens", F.lit(0))))
+    rows = rows.withColumn("share", F.least(F.lit(rules.history_tokens), F.floor(F.col("left") / 2)))
+    rows = rows.withColumn("room", F.greatest(F.lit(1), F.col("left") - F.col("share"))).withColumn("before", F.col("upto") - F.col("body"))
     rows = rows.withColumn("cell", F.when(F.col("system"), -1).otherwise(F.floor((F.col("upto") - 1) / F.col("room"))))
     begun = F.floor(F.col("before") / F.col("room")) < F.col("cell")
     held = F.sum("body").over(Window.partitionBy("conv_id", "cell"))
@@ -85,14 +90,16 @@ def chat_windows(conversations: DataFrame, rules: ChatRules = ChatRules()) -> Da
     rows = rows.withColumn("window", F.greatest(number, F.lit(0)).cast("int"))
     begins = F.coalesce(F.lag("window").over(order) != F.col("window"), F.lit(False))
     near = F.collect_list(F.struct("role", "text", "before", "system")).over(order.rowsBetween(-rules.history_turns, -1))
-    within = F.filter(near, lambda p: ~p["system"] & (F.col("before") - p["before"] <= rules.history_tokens))
-    rows = rows.withColumn("history", F.when(begins, F.transform(within, lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))))
+    within = F.filter(near, lambda p: ~p["system"] & (F.col("before") - p["before"] <= F.col("share")))
+    back = F.transform(within, lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"), (F.col("before") - p["before"]).alias("tokens")))
+    rows = rows.withColumn("history", F.when(begins, back))
     windows = rows.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("fresh"), F.first("history", ignorenulls=True).alias("history"), F.first("kept").alias("kept")
+        F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("fresh"), F.first("history", ignorenulls=True).alias("history"), F.first("kept").alias("kept"), (F.first("left") - F.sum("body")).alias("spare")
     )
     pair = "array<struct<role: string, text: string>>"
     system = F.when((F.col("window") > 0) & F.col("kept").isNotNull(), F.array(F.struct("kept.role", "kept.text"))).otherwise(F.array().cast(pair))
-    context = F.concat(system, F.coalesce("history", F.array().cast(pair)))
+    history = F.transform(F.filter("history", lambda p: p["tokens"] <= F.col("spare")), lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
+    context = F.concat(system, F.coalesce(history, F.array().cast(pair)))
     fresh = F.transform("fresh", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     windows = windows.select("conv_id", "window", F.size(context).alias("n_context"), F.concat(context, fresh).alias("turns"))
     marked = F.transform("turns", lambda t: F.struct(head(t["role"]).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == rules.target_role).alias("target")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from anamnesis.llm.chat_format import BEGIN, END, ChatRules
 from anamnesis.llm.common import UPPER
 from anamnesis.llm.near_dedup import NearRules
@@ -16,10 +18,15 @@ def text(s: str | None) -> str:
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
+def any_case(pattern: str) -> str:
+    """The pattern with each ASCII letter outside classes and escapes in either case; (?i) would fold other letters to them."""
+    return re.sub(r"(\\.[0-9]*|\[[^]]+\])|([A-Za-z])", lambda m: m[1] or f"[{m[2].upper()}{m[2].lower()}]", pattern)
+
+
 def secret_scan() -> str:
     parts = []
     for k, r in enumerate(RULES):
-        pattern = text(("(?i)" if r.any_case else "") + r.pattern)
+        pattern = text(any_case(r.pattern) if r.any_case else r.pattern)
         cut = f"SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {r.group}) AS v, regexp_split_to_array(t, {pattern}) AS g FROM d"
         at = "coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0)"
         parts.append(f"SELECT doc_id, {k} AS k, '{r.name}' AS name, {at} AS s, {at} + length(m[i]) AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({cut})) WHERE length(v[i]) >= {r.least}")
@@ -57,17 +64,19 @@ def chat_format(hostile: str) -> str:
     esc = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
     size = f"{len(BEGIN) + len(END) + 2} + length(replace({esc.format('role')}, chr(10), '&#10;')) + length({esc.format('text')})"
     before = " + ".join(
-        f"CASE WHEN NOT lag(sys, {k}) OVER w AND upto - body - lag(upto - body, {k}) OVER w <= {r.history_tokens} THEN lag(size, {k}) OVER w ELSE 0 END" for k in range(1, r.history_turns + 1)
+        f"CASE WHEN NOT lag(sys, {k}) OVER w AND upto - body - lag(upto - body, {k}) OVER w <= least(share, spare) THEN lag(size, {k}) OVER w ELSE 0 END" for k in range(1, r.history_turns + 1)
     )
     return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {text(hostile)}), (-1, 1, 'assistant', {text(hostile)})),
 t AS (SELECT *, len({WORDS.format("text")}) + {r.marks} AS tokens, {size} AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM r),
 s AS (SELECT *, nth = 1 AND role = '{r.system_role}' AS sys FROM t),
 b AS (SELECT *, CASE WHEN sys THEN 0 ELSE tokens END AS body, max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id) AS st, max(CASE WHEN sys THEN size END) OVER (PARTITION BY conv_id) AS sl FROM s),
-u AS (SELECT *, sum(body) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, greatest({r.budget - r.history_tokens} - coalesce(st, 0), {r.history_tokens}) AS room FROM b),
-c AS (SELECT *, CASE WHEN sys THEN -1 ELSE floor((upto - 1) / room) END AS cell FROM u),
+u AS (SELECT *, sum(body) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, greatest(0, {r.budget} - coalesce(st, 0)) AS rest FROM b),
+q AS (SELECT *, least({r.history_tokens}, rest // 2) AS share, greatest(1, rest - least({r.history_tokens}, rest // 2)) AS room FROM u),
+c AS (SELECT *, CASE WHEN sys THEN -1 ELSE floor((upto - 1) / room) END AS cell FROM q),
 p AS (SELECT *, CASE WHEN NOT sys AND floor((upto - body) / room) < cell AND sum(body) OVER (PARTITION BY conv_id, cell) > room THEN 0 ELSE 1 END AS part FROM c),
 n AS (SELECT *, greatest(dense_rank() OVER (PARTITION BY conv_id ORDER BY cell, part) - 1 - (st IS NOT NULL)::INTEGER, 0) AS win FROM p),
-h AS (SELECT *, CASE WHEN lag(win) OVER w <> win THEN coalesce(sl, 0) + {before} ELSE 0 END AS again FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY nth))
+f AS (SELECT *, rest - sum(body) OVER (PARTITION BY conv_id, win) AS spare FROM n),
+h AS (SELECT *, CASE WHEN lag(win) OVER w <> win THEN coalesce(sl, 0) + {before} ELSE 0 END AS again FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY nth))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
  coalesce(sum(length(text)) FILTER (role = '{r.target_role}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = '{r.target_role}'), '')) AS loss_sha256,
  sum(size + again)::BIGINT AS formatted_chars, count(DISTINCT win) AS n_windows FROM h GROUP BY conv_id"""
