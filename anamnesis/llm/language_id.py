@@ -6,7 +6,9 @@ its bytes. The network is trained here, in numpy, by backpropagation through tim
 bounded sample of labelled texts: at most `slots` snippets of `snippet` bytes for each label,
 chosen by a hash of the text, so that copies count once. Whole texts are predicted.
 
-Learned from text and label only; doc_id decides nothing but who is held out. Defined
+Learned from text and label only; doc_id decides nothing but who is held out. At most `labels`
+labels are learned, those of most documents (of equals, the first in order); so dirty labels bound
+neither the network nor its sample. A very long text is read window by window. Defined
 results: `und` with score 0 for a null text, one without a letter, or where there was nothing
 to learn from; a null doc_id is neither held out nor learned from; repeated rows are each
 returned; an empty table gives an empty result; extra columns are ignored.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import in_arrow, pick, slices, texts_as_bytes
+from anamnesis.llm.common import in_arrow, pick, slices, texts_as_bytes, written
 
 UNKNOWN = "und"
 
@@ -30,7 +32,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class GruRules:
     """window: bytes that the network reads at once. slots, snippet: the bound of the training sample, by label.
-    span: windows that are predicted together."""
+    span: windows that are predicted together. labels: learned at most."""
 
     hidden: int = 6
     window: int = 64
@@ -40,6 +42,7 @@ class GruRules:
     batch: int = 128
     rate: float = 0.02
     span: int = 3072
+    labels: int = 512
     seed: int = 7
 
 
@@ -218,7 +221,10 @@ def training_sample(docs: DataFrame, rules: GruRules = GruRules()) -> list[tuple
     h = F.xxhash64("text")
     at = F.pmod(F.shiftright(h, 16), F.greatest(F.lit(1), F.length("text") - rules.snippet)) + 1
     rows = rows.select("lang", F.pmod(h, F.lit(rules.slots)).alias("slot"), h.alias("h"), F.substr("text", at.cast("int"), F.lit(rules.snippet)).alias("snippet"))
-    best = rows.groupBy("lang", "slot").agg(F.min(F.struct("h", "snippet")).alias("m")).select("lang", "m.snippet").collect()
+    best = rows.groupBy("lang", "slot").agg(F.min(F.struct("h", "snippet")).alias("m"), F.count("*").alias("n"))
+    best = written(best, "language-sample")
+    common = best.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(rules.labels)
+    best = best.join(common.select("lang"), "lang").orderBy("lang", "slot").select("lang", "m.snippet").collect()
     return [(r["lang"], r["snippet"].encode()) for r in best]
 
 

@@ -9,7 +9,8 @@ ends are filled from the earliest start on, and a later path wins only if its sc
 strictly higher. Characters without a piece score 10 below the lowest piece and count as
 their UTF-8 bytes where the vocabulary has byte pieces, else one for a run.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are each returned; an
+Defined results: null and empty texts have 0 tokens; a very long text is counted whole, word by
+word, so no more than it and a word's lattice is held; repeated rows are each returned; an
 empty table gives an empty result; extra columns are ignored.
 """
 
