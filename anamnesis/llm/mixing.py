@@ -12,23 +12,22 @@ a bucket), so no source, however hot, meets in one task. What reaches the driver
 per source: the mixture's own list of weights is as long.
 
 Defined results: null and empty texts have size 0 and give nothing; null is a source of its
-own; rows with equal doc_id, source and text are separate rows that share nothing; an empty
-table gives an empty result; extra columns are ignored.
+own; repeated rows are separate rows that share nothing; a very long text fills as many blocks as it needs,
+and no task holds more of it than the text itself; an empty table gives an empty result; extra columns are ignored
+by the report and carried by the mixed documents, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import n_words, numbered, pick, slices, written
+from anamnesis.llm.common import n_words, numbered, pick, written
 
 #: A 64-bit mixer's constants, and the rounds of the index permutations.
 _MIX1, _MIX2, ROUNDS = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 4
@@ -47,8 +46,8 @@ class MixRules:
     seed: int = 20240201
 
 
-#: Slots that a task lays out, about.
-TASK_SLOTS = 200_000
+#: Slots that a task lays out, about. Shards whose draws are added up in one task.
+TASK_SLOTS, RUN = 200_000, 4096
 
 
 def code_point_order(sources: Sequence[str | None]) -> list[str | None]:
@@ -150,28 +149,23 @@ def source_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
 
 
-def id_key(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("n"))
+def sized(rows: DataFrame, doc_id: str, source: str, text: str, tie: Column, *also: str) -> DataFrame:
+    """(row, doc_id, source, skey, size, tie, *also) of each row, written once, so that its number stays the same.
+    tie orders rows of one doc_id."""
+    key = source_key(F.col(source)).alias("skey")
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key, n_words(F.col(text)).alias("size"), tie.alias("tie"), *also), "mix-rows")
 
 
-def size_table(docs: DataFrame, rules: MixRules) -> DataFrame:
-    """(doc_id, skey, size, tie, bucket) of each row, written once."""
-    base = pick(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")
-    )
-    return written(base, "mix-sizes")
-
-
-def positions(sizes: DataFrame, rules: MixRules) -> DataFrame:
-    """sizes with start: the word of its source at which the row begins."""
-    buckets = max(1024, sizes.count() // rules.bucket_rows)
-    rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+def positions(rows: DataFrame, rules: MixRules) -> DataFrame:
+    """(row, doc_id, skey, size, start) of sized rows; start: the word of its source at which the row begins."""
+    buckets = max(1024, rows.count() // rules.bucket_rows)
+    rows = rows.select("row", "doc_id", "skey", "size", "tie", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("held"))
     up_to = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("skey", "bucket", F.coalesce(F.sum("held").over(up_to), F.lit(0)).alias("first"))
     within = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return inside.join(first, ["skey", "bucket"]).withColumn("start", F.col("first") + F.col("inside")).drop("first", "inside", "bucket")
+    return inside.join(first, ["skey", "bucket"]).select("row", "doc_id", "skey", "size", (F.col("first") + F.col("inside")).alias("start"))
 
 
 def shard_counts(spark: SparkSession, sources: list[Source], rules: MixRules) -> DataFrame:
@@ -190,9 +184,11 @@ def shard_counts(spark: SparkSession, sources: list[Source], rules: MixRules) ->
 
     drawn = spark.range(shards).mapInPandas(draw, "number long, shard long, count long")
     quota = spark.createDataFrame([(s.number, s.slots) for s in sources], "number long, quota long")
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.join(F.broadcast(quota), "number").withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    drawn = written(drawn, "mix-draws")  # read twice below
+    drawn = written(drawn.join(quota, "number").withColumn("run", F.floor(F.col("shard") / RUN)), "mix-draws")
+    ahead = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = drawn.groupBy("number", "run").agg(F.sum("count").alias("held")).select("number", "run", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
+    before = Window.partitionBy("number", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("inside", F.coalesce(F.sum("count").over(before), F.lit(0))).join(runs, ["number", "run"]).withColumn("first", F.col("base") + F.col("inside"))
     kept = drawn.select("number", "shard", "first", F.greatest(F.lit(0), F.least("count", F.col("quota") - F.col("first"))).alias("count"))
     missed = drawn.groupBy("number").agg(F.max("quota").alias("quota"), F.sum("count").alias("got")).filter("got < quota")
     extra = missed.select("number", F.explode(F.expr(f"sequence(got, quota - 1, {per})")).alias("first"), "quota")
@@ -224,11 +220,11 @@ def slots(spark: SparkSession, sources: list[Source], rules: MixRules) -> DataFr
 
 
 def spans(placed: DataFrame, length: int) -> DataFrame:
-    """(skey, block, doc_id, start, size, tie, low, high): the words of each block that a row fills, counted within the block."""
+    """(skey, block, row, start, size, low, high): the words of each block that a row fills, counted within the block."""
     full = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {length}, (start + size - 1) div {length})")))
     low = F.greatest(F.col("start") - F.col("block") * length, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * length, F.lit(length))
-    return full.select("skey", "block", "doc_id", "start", "size", "tie", low.alias("low"), high.alias("high"))
+    return full.select("skey", "block", "row", "start", "size", low.alias("low"), high.alias("high"))
 
 
 @dataclass
@@ -238,70 +234,70 @@ class Mix:
     shown: DataFrame
 
 
-def mix(docs: DataFrame, rules: MixRules = MixRules()) -> Mix:
-    """The mix of docs: the plan by source, every row's place in its source and every slot of the output."""
-    spark = docs.sparkSession
-    sizes = size_table(docs, rules)
-    stats = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
+def mix(rows: DataFrame, rules: MixRules = MixRules()) -> Mix:
+    """The mix of sized rows: the plan by source, every row's place in its source and every slot of the output."""
+    spark = rows.sparkSession
+    stats = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
     sources = plan([(r["source"], int(r["size"])) for r in stats], rules)
-    return Mix(sources, written(positions(sizes, rules), "mix-places"), slots(spark, sources, rules))
+    return Mix(sources, written(positions(rows, rules), "mix-places"), slots(spark, sources, rules))
 
 
 def mixed_spans(m: Mix, rules: MixRules = MixRules()) -> DataFrame:
-    """One row per output slot and document in it: which words (from, to) of the document stand at which slot."""
+    """One row per output slot and row in it: which words (from, to) of the row stand at which slot."""
     # the slots come from a small table, so Spark would take them to be small as well, and broadcast them
     joined = spans(m.placed, rules.block_words).join(m.shown.hint("merge"), ["skey", "block"]).filter("take > low")
     begin = F.col("block") * rules.block_words + F.col("low") - F.col("start")
-    return joined.select("doc_id", "skey", "start", "size", "tie", "shard", "slot", "epoch", begin.alias("from"), (begin + F.least("high", "take") - F.col("low")).alias("to"))
+    return joined.select("row", "skey", "size", "shard", "slot", "epoch", begin.alias("from"), (begin + F.least("high", "take") - F.col("low")).alias("to"))
+
+
+def report_rows(docs: DataFrame) -> DataFrame:
+    """docs as sized rows without their texts."""
+    return sized(pick(docs, "doc_id", "source", "text"), "doc_id", "source", "text", F.xxhash64("text"))
 
 
 def mix_report(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """One row per document: doc_id, size, its source's size and target, and the words that the mix takes of it."""
-    m = mix(docs, rules)
+    m = mix(report_rows(docs), rules)
     uses = m.shown.groupBy("skey", "block", "take").agg(F.count("*").alias("times"))
     filled = spans(m.placed, rules.block_words).join(uses.hint("merge"), ["skey", "block"])  # as in mixed_spans
     words = F.greatest(F.least("high", "take") - F.col("low"), F.lit(0)) * F.col("times")
-    taken = filled.groupBy("skey", "start").agg(F.sum(words).alias("words"))
+    taken = filled.groupBy("row").agg(F.sum(words).alias("words"))
     names = docs.sparkSession.createDataFrame([("n" if s.name is None else "s" + s.name, s.size, s.target) for s in m.sources], "skey string, source_size long, target double")
-    sized = m.placed.filter("size > 0").join(taken.hint("merge"), ["skey", "start"], "left").unionByName(m.placed.filter("size = 0"), allowMissingColumns=True)
-    rows = sized.join(F.broadcast(names), "skey")  # a row for each source, as the plan
+    rows = m.placed.join(taken.hint("merge"), "row", "left").join(names, "skey")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
+def cut(text: Column, runs: Column) -> Column:
+    """The runs (from, to) of words of text, each as it stands there; line ends join runs that do not touch."""
+    pieces = F.array(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"))  # a word each, with the space before it
+
+    def joined(p: Column) -> Column:
+        def run(r: Column, i: Column) -> Column:
+            here = F.array_join(F.slice(p, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), "")
+            alone = F.concat(F.when(i > 0, "\n").otherwise(""), F.regexp_replace(here, r"\A[\x20\x09-\x0D]+", ""))
+            return F.when((i > 0) & (F.try_element_at(runs, i)["to"] == r["from"]), here).otherwise(alone)
+
+        return F.array_join(F.transform(runs, run), "")
+
+    return F.transform(pieces, joined)[0]  # one split for all runs of a text
+
+
 def mixed_documents(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each document and epoch that takes words of it.
     Where the epoch takes all its words the text is the document's own; else its runs of taken words, each as it
     stands in the text, joined by line ends, with n_chars (where there is one) set to the new length."""
     columns, numbers = docs.columns, numbered(docs)
-    m = mix(docs, rules)
-    pieces = mixed_spans(m, rules).groupBy("doc_id", "skey", "size", "tie", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
-    flat = [f"c{i}" for i in range(len(columns))]
+    flat = numbers.columns
     at = {n: flat[columns.index(n)] for n in ("doc_id", "source", "text")}
-    key = {"skey": source_key(F.col(at["source"])), "size": n_words(F.col(at["text"])), "tie": F.xxhash64(at["text"]), "id": id_key(F.col(at["doc_id"]))}
-    keyed = numbers.withColumns(key).filter("size > 0").groupBy(*key).agg(*(F.first(c).alias(c) for c in flat))  # repeated rows share a text
-    joined = pieces.withColumn("id", id_key(F.col("doc_id"))).join(keyed, list(key)).select("runs", *flat)
-    text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(r"[^\x20\x09-\x0D]+")
-        for b in slices(batches):
-            texts, runs_of = b.column(text + 1).to_pylist(), b.column(0).to_pylist()
-            for i, (t, runs) in enumerate(zip(texts, runs_of, strict=True)):
-                joined_runs: list[list[int]] = []
-                for r in runs:
-                    if joined_runs and r["from"] <= joined_runs[-1][1]:
-                        joined_runs[-1][1] = r["to"]
-                    else:
-                        joined_runs.append([r["from"], r["to"]])
-                where = [w.span() for w in word.finditer(t)]
-                if joined_runs != [[0, len(where)]]:
-                    texts[i] = "\n".join(t[where[f][0] : where[e - 1][1]] for f, e in joined_runs)
-            cols = list(b.columns[1:])
-            cols[text] = pa.array(texts, cols[text].type)
-            if chars is not None:
-                cols[chars] = pa.array([len(t) for t in texts], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=flat)
-
-    return joined.mapInArrow(cut, numbers.schema).toDF(*columns)
+    plain = [f.name for f in numbers.schema.fields if not f.dataType.simpleString().count("map<")]  # maps have no hash
+    rows = sized(numbers, at["doc_id"], at["source"], at["text"], F.xxhash64(*plain), *flat)
+    m = mix(rows, rules)
+    pieces = mixed_spans(m, rules).groupBy("row", "size", "epoch").agg(F.sum(F.col("to") - F.col("from")).alias("words"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    whole = F.col("words") == F.col("size")
+    joined = pieces.withColumn("runs", F.when(~whole, F.col("runs"))).drop("size", "words").hint("merge").join(rows.select("row", *flat), "row")
+    text = F.when(F.col("runs").isNull(), F.col(at["text"])).otherwise(cut(F.col(at["text"]), F.col("runs")))
+    out = joined.withColumn(at["text"], text)
+    if "n_chars" in columns:
+        c = flat[columns.index("n_chars")]
+        out = out.withColumn(c, F.length(at["text"]).cast(numbers.schema[c].dataType))
+    return out.select(*flat).toDF(*columns)
