@@ -90,7 +90,7 @@ BM25_K1, BM25_B, BM25_MIN_IDF = 1.2, 0.75, 1e-6
 
 # Duplicates and consolidation.
 NEAR_DUPE, AUTO_MERGE, ASK_FLOOR, TRIGRAM_DISCOUNT, PROMOTION = 0.78, 0.88, 0.58, 0.92, 1.5
-LOW_CONFIDENCE, LOW_IMPORTANCE, MAX_PAIRS = 0.12, 0.35, 12
+LOW_CONFIDENCE, LOW_IMPORTANCE, MAX_PAIRS, CONSOLIDATE_EVERY = 0.12, 0.35, 12, 25
 
 # Decay and reinforcement.
 FLOOR_WEIGHT, ARCHIVE_BELOW, WRITE_SKIP, FLOOR_SLACK, IDLE_DAYS = 0.35, 0.05, 0.005, 0.01, 365.0
@@ -101,8 +101,8 @@ FORECAST_DAYS = (0, 7, 14, 30, 60, 90)
 CONTEXT_BUDGET, CONTEXT_IMPORTANCE, LINE_CHARS, HEDGE = 2400, 0.25, 220, 0.5
 CONTEXT_HEADING = "What you know about the user"
 GUIDANCE = (
-    "Use these only when relevant to the current request. If one contradicts what the user just said, trust the user. "
-    "When you learn something durable and non-obvious that is not derivable from the files, call remember()."
+    "These notes may be out of date: what the user says now counts, and what has no bearing on the request stays unsaid. "
+    "Lasting facts that no file holds are worth a remember() call."
 )
 INBOX_CHARS, HISTORY_KEPT, HISTORY_PART = 4000, 8, 220
 
@@ -124,7 +124,8 @@ TRIM_WORDS = tuple(
 )
 CONJUNCTIONS = ("and", "or", "&", "+")
 CLAUSE_STARTERS = tuple("i we you he she they it my our me us im ive id the a an this that there then so but because".split())
-# (trigger and capture, type, subject, importance, sentence; None: by the type). Triggers ignore case, captures do not.
+# What a turn says of the user, as (trigger and capture, type, subject, importance, sentence; None: by the turn's
+# words). Triggers ignore case, captures do not. Which turns give facts, their order and their sentences depend on each of them.
 EXTRACT_PATTERNS = (
     (r"\b(?i:my name(?:'s| is)\s+)([A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)?)", "identity", "user.name", 0.95, "The user's name is {}."),
     (r"\b(?i:call me\s+)([A-Z][\w'-]*)", "identity", "user.name", 0.95, "The user's name is {}."),

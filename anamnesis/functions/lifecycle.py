@@ -35,6 +35,19 @@ def days_since(at: Column, now: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 86_400_000_000.0), F.lit(0.0))
 
 
+def to_iso(at: Column) -> Column:
+    """A time as ISO-8601 in UTC, with microseconds where there are some."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(at) % 1_000_000
+    return F.concat(whole, F.when(micros != 0, F.format_string(".%06d", F.pmod(micros, F.lit(1_000_000)))).otherwise(""), F.lit("+00:00"))
+
+
+def plus_days(at: Column, days: Column) -> Column:
+    """at and so many days, which may be a fraction; null for null days."""
+    return F.timestamp_micros(F.unix_micros(at) + F.round(days * 86_400_000_000.0).cast("long"))
+
+
 def normalize_type(label: Column) -> Column:
     """A known type for any label: exact, by alias, else by its parts from the right, else fact."""
     known = {name: name for name, *_ in POLICY} | TYPE_ALIASES

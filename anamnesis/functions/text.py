@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ from anamnesis.functions.constants import (
 TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: what a lambda only closes over is computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(*items: str) -> Column:
     return F.array(*(F.lit(x) for x in items))
 
@@ -82,9 +88,14 @@ def norm_hash(c: Column) -> Column:
 
 def trigrams(token_list: Column) -> Column:
     """Distinct three-character pieces of the tokens joined by spaces; a shorter string is its own piece."""
+
+
+    def pieces(letters: Column) -> Column:
+        three = F.transform(F.slice(letters, F.lit(1), F.size(letters) - 2), lambda x, i: F.concat(x, F.get(letters, i + 1), F.get(letters, i + 2)))
+        return F.when(F.size(letters) >= 3, F.array_distinct(three)).otherwise(F.array(F.array_join(letters, "")))
+
     joined = F.array_join(token_list, " ")
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(joined) - 2), lambda i: F.substr(joined, i, F.lit(3))))
-    return F.when(F.length(joined) >= 3, pieces).when(F.length(joined) > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(token_list) > 0, let(F.split(joined, ""), pieces)).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -115,21 +126,32 @@ def summary(c: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
 
 
+def truncated(c: Column, limit: int = 8000) -> Column:
+    """A tool's output up to limit characters, and how many were cut."""
+    over = F.length(c) - limit
+    return F.when(over > 0, F.concat(F.substring(c, 1, limit), F.lit("\n["), over.cast("string"), F.lit(" characters truncated]"))).otherwise(c)
+
+
 def subject_weights(c: Column) -> Column:
     """(token, weight) of a dotted key: stems of its last level weigh 1, of those before it less."""
     levels = F.filter(F.split(F.coalesce(c, F.lit("")), r"[.\s:/-]+"), lambda x: x != "")
     parts = F.transform(levels, lambda x, i: F.struct(F.split(x, r"_+|(?<=[a-z0-9])(?=[A-Z])").alias("parts"), F.when(i == F.size(levels) - 1, 1.0).otherwise(SUBJECT_PREFIX).alias("w")))
     pairs = F.flatten(F.transform(parts, lambda p: F.flatten(F.transform(p["parts"], lambda x: F.transform(tokens(x), lambda t: F.struct(stem(t).alias("token"), p["w"].alias("weight")))))))
-    best = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["token"] == p["token"]) & (q["weight"] > p["weight"])))
-    return F.array_distinct(best)
+    return let(pairs, lambda all_: F.array_distinct(F.filter(all_, lambda p: ~F.exists(all_, lambda q: (q["token"] == p["token"]) & (q["weight"] > p["weight"])))))
 
 
 def coverage(query_stems: Column, text_tokens: Column, subject_tokens: Column) -> Column:
     """Share of the query's stems that a text or its subject has, whole or by the first four letters."""
-    have = F.concat(F.filter(text_tokens, lambda t: ~t.rlike(r"\A\p{Nd}+\z")), subject_tokens)
-    stems = F.transform(have, stem)
-    heads = F.transform(F.filter(have, lambda t: F.length(t) >= 4), lambda t: F.substring(stem(t), 1, 4))
-    hit = F.filter(query_stems, lambda q: F.array_contains(stems, q) | F.array_contains(heads, F.substring(q, 1, 4)))
+    have = F.array_distinct(F.concat(F.filter(text_tokens, lambda t: ~t.rlike(r"\A\p{Nd}+\z")), subject_tokens))
+    stems = F.transform(have, lambda t: F.struct(stem(t).alias("stem"), (F.length(t) >= 4).alias("long")))
+
+    def hits(known: Column) -> Column:
+        # a stem counts whole, or by four letters: as such heads they are told apart by a sign that no word has
+        marks = F.concat(known["stem"], F.transform(F.filter(known, lambda k: k["long"]), lambda k: F.concat(F.substring(k["stem"], 1, 4), F.lit("*"))))
+        asked = lambda q: F.array(q, F.concat(F.substring(q, 1, 4), F.lit("*")))
+        return let(marks, lambda all_: F.filter(query_stems, lambda q: F.arrays_overlap(all_, asked(q))))
+
+    hit = let(stems, hits)
     return F.when(F.size(query_stems) == 0, F.lit(0.0)).otherwise(F.size(hit) / F.size(query_stems))
 
 

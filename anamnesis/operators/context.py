@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text
-from anamnesis.functions.constants import CONTEXT_BUDGET, CONTEXT_HEADING, CONTEXT_IMPORTANCE, GUIDANCE, HEDGE, HISTORY_KEPT, HISTORY_PART, LINE_CHARS, ROUTE_AT
+from anamnesis.functions.constants import CONTEXT_BUDGET, CONTEXT_HEADING, CONTEXT_IMPORTANCE, GUIDANCE, HEDGE, HISTORY_KEPT, HISTORY_PART, LINE_CHARS, POLICY, ROUTE_AT
 from anamnesis.functions.lifecycle import c
 
 
@@ -50,3 +50,25 @@ def compacted(turns: DataFrame, kept: int = HISTORY_KEPT) -> DataFrame:
 def routed(requests: DataFrame) -> DataFrame:
     """requests (..., text) with the complexity score and the tier of model it goes to."""
     return requests.withColumn("complexity", text.complexity(c("text"))).withColumn("tier", F.when(c("complexity") >= ROUTE_AT, "powerful").otherwise("cheap"))
+
+
+def by_type(mem: DataFrame) -> DataFrame:
+    """(place, memory_type, n, lines): the rows of each type as a table's lines, types in the order of the policy, then others by name."""
+    known = F.array(*(F.lit(p[0]) for p in POLICY))
+    at = F.array_position(known, c("memory_type"))
+    flag = F.when(c("is_archived"), "x").otherwise(" ")
+    percent = F.concat(F.bround(F.coalesce("confidence_score", F.lit(0.0)) * 100, 0).cast("int").cast("string"), F.lit("%"))
+    why = F.when(c("is_archived"), F.concat(F.lit(" ("), F.coalesce("archived_reason", F.lit("archived")), F.lit(")"))).otherwise("")
+    said = F.concat(flag, F.format_string(" #%d ", c("id")), percent, F.format_string(" used %d: ", F.coalesce("access_count", F.lit(0))), text.summary(c("text"), 90), why)
+    order = F.struct((-F.coalesce("importance", F.lit(0.0))).alias("i"), c("id"), said.alias("line"))
+    rows = mem.groupBy("memory_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order)).alias("lines"))
+    rows = rows.withColumn("place", F.when(at > 0, at).otherwise(len(POLICY) + 1).cast("int"))
+    return rows.select("place", "memory_type", "n", F.col("lines.line").alias("lines"))
+
+
+def table(mem: DataFrame) -> DataFrame:
+    """(listing): one text, a heading and the lines of each type."""
+    part = F.concat_ws("\n", F.concat(F.upper("memory_type"), F.format_string(" (%d)", c("n"))), F.array_join("lines", "\n"))
+    rows = by_type(mem).select("place", "memory_type", part.alias("part"))
+    parts = F.array_sort(F.collect_list(F.struct("place", "memory_type", "part")))
+    return rows.agg(parts.alias("parts")).select(F.array_join(F.col("parts.part"), "\n\n").alias("listing"))

@@ -35,12 +35,13 @@ def sweep_summary(actions: DataFrame) -> DataFrame:
 
 
 def swept(mem: DataFrame, now: Column) -> DataFrame:
-    """mem after a sweep: a write moves the clock with the confidence."""
+    """mem after a sweep: a write moves the clock with the confidence, and what goes says why."""
     actions = sweep(mem, now).withColumnRenamed("confidence", "target")
     joined = mem.join(actions, "id", "left").withColumn("action", F.coalesce("action", F.lit("none")))
     gone, wrote = c("action").isin("ttl_expired", "idle", "decayed"), c("action") == "write"
     return joined.withColumns({
         "is_archived": c("is_archived") | gone,
+        "archived_reason": F.when(gone, c("action")).otherwise(c("archived_reason")) if "archived_reason" in mem.columns else F.when(gone, c("action")),
         "confidence_score": F.when(wrote, c("target")).otherwise(c("confidence_score")),
         "last_accessed_at": F.when(wrote, now).otherwise(c("last_accessed_at")),
     }).drop("target", "action")

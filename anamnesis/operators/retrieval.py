@@ -1,22 +1,30 @@
 """Hybrid retrieval of a table of queries against a table of memories.
 
 Nothing loops over queries: every ranker is a plan of joins and aggregations keyed by query
-id. Query tables are small against the store, but no side is forced to be broadcast; Spark
-decides by the measured size.
+id. What a plan reads more than once (the index, the pool, rankings, candidates) is written
+once. Only sides of a known bound are broadcast: the capped pool, and blocks of query vectors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import lifecycle, text
 from anamnesis.functions.constants import (
     BM25_B, BM25_K1, BM25_MIN_IDF, COVERAGE_BIAS, COVERAGE_WEIGHT, ESCALATION_COVERAGE, ESCALATION_SCORE, MAGNITUDE_WEIGHT, MAX_CANDIDATES, MIN_MAGNITUDE_SPREAD, MIN_SCORE,
-    RRF_K, SALIENCE_BIAS, SALIENCE_WEIGHT, SHARPNESS, SUBJECT_SEED, SUBJECT_WEIGHT, VECTOR_FLOOR, VECTOR_STRONG,
+    RRF_K, SALIENCE_BIAS, SALIENCE_WEIGHT, SHARPNESS, SUBJECT_SEED, SUBJECT_WEIGHT, VECTOR_FLOOR, VECTOR_SCAN, VECTOR_STRONG,
 )
 from anamnesis.functions.lifecycle import c, is_live
 from anamnesis.functions.porter import stemmed
+from anamnesis.sources.paths import staged, work_dir
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -39,50 +47,93 @@ def query_terms(queries: DataFrame, stems: bool = False) -> DataFrame:
     return counted.withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
 
 
-def matches(terms: DataFrame, index: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings (id, term, tf), sorted by term in each file; lengths (id, len, live); and their totals."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n_docs: int
+    avg_len: float
+    stems: bool
+
+
+def build_index(mem: DataFrame, stems: bool = False, path: str | None = None) -> Index:
+    """The index of all rows of mem, archived ones included, written once under path."""
+    spark = mem.sparkSession
+    path = path or f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    postings(mem, stems).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    counted = spark.read.schema("id long, term string, tf long").parquet(f"{path}/postings").groupBy("id").agg(F.sum("tf").alias("len"))
+    counted.join(mem.select("id", is_live().alias("live")), "id").write.parquet(f"{path}/lengths")
+    return read_index(spark, path, stems)
+
+
+def read_index(spark: SparkSession, path: str, stems: bool = False) -> Index:
+    lengths = spark.read.schema("id long, len long, live boolean").parquet(f"{path}/lengths")
+    n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
+    return Index(spark.read.schema("id long, term string, tf long").parquet(f"{path}/postings"), lengths, n, mean or 1.0, stems)
+
+
+def index_is_sane(index: Index, mem: DataFrame) -> bool:
+    """Whether the index has each row with a word as it is now, and no other: term counts and live flags agree."""
+    now = postings(mem, index.stems).groupBy("id").agg(F.sum("tf").alias("len"), F.sum(F.xxhash64("term", "tf").cast("decimal(38,0)")).alias("sum"))
+    then = index.postings.groupBy("id").agg(F.sum("tf").alias("len"), F.sum(F.xxhash64("term", "tf").cast("decimal(38,0)")).alias("sum"))
+    live = mem.select("id", is_live().alias("live")).join(now.select("id"), "id", "left_semi")
+    same = [(now, then), (then, now), (live, index.lengths.select("id", "live"))]
+    return not any(x.join(y, x.columns, "left_anti").limit(1).count() for x, y in same)
+
+
+def matches(terms: DataFrame, index: Index) -> DataFrame:
     """(qid, term, times, n_terms, prefix, id, tf): hits by the whole term and by prefix. A vocabulary entry meets
     the terms that it begins with through its heads of the lengths that terms have, by equality."""
-    exact = terms.join(index, "term").withColumn("prefix", F.lit(False))
-    lengths = terms.agg(F.array_distinct(F.collect_list(F.length("term"))).alias("lengths"))  # one row
-    heads = index.select(c("term").alias("word")).distinct().join(F.broadcast(lengths))
-    heads = heads.withColumn("size", F.explode("lengths")).filter(F.length("word") >= c("size")).select("word", F.expr("substring(word, 1, size)").alias("term"))
-    by_head = terms.join(heads, "term").join(index.withColumnRenamed("term", "word"), "word")
+    exact = terms.join(index.postings, "term").withColumn("prefix", F.lit(False))
+    # no more lengths than the longest query word has letters
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
+    sizes = F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>")
+    heads = index.postings.select(c("term").alias("word")).distinct()
+    heads = heads.withColumn("size", F.explode(sizes)).filter(F.length("word") >= c("size")).select("word", F.expr("substring(word, 1, size)").alias("term"))
+    by_head = terms.join(heads, "term").join(index.postings.withColumnRenamed("term", "word"), "word")
     grouped = by_head.groupBy("qid", "term", "times", "n_terms", "id").agg(F.sum("tf").alias("tf")).withColumn("prefix", F.lit(True))
-    return exact.unionByName(grouped)
+    return exact.select(*grouped.columns).unionByName(grouped)
 
 
-def bm25(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, prefix, id, magnitude, matched, n_terms). Statistics are those of all rows, archived ones included."""
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+def bm25(hits: DataFrame, index: Index) -> DataFrame:
+    """(qid, prefix, id, live, magnitude, matched, n_terms). Statistics are those of all rows, archived ones included."""
+    hits = staged(hits, "hits")
     df = hits.groupBy("qid", "term", "prefix").agg(F.count("*").alias("df"))
-    rows = hits.join(df, ["qid", "term", "prefix"]).join(lengths, "id").join(F.broadcast(size))  # one row
-    idf = F.log((c("n_docs") - c("df") + 0.5) / (c("df") + 0.5))
+    rows = hits.join(df, ["qid", "term", "prefix"]).join(index.lengths, "id")
+    idf = F.log((index.n_docs - c("df") + 0.5) / (c("df") + 0.5))
     idf = F.when(idf <= 0, BM25_MIN_IDF).otherwise(idf)
-    part = c("times") * idf * c("tf") * (BM25_K1 + 1) / (c("tf") + BM25_K1 * (1 - BM25_B + BM25_B * c("len") / c("avg_len")))
-    return rows.groupBy("qid", "prefix", "id", "n_terms").agg(F.sum(part).alias("magnitude"), F.count("*").alias("matched"))
+    part = c("times") * idf * c("tf") * (BM25_K1 + 1) / (c("tf") + BM25_K1 * (1 - BM25_B + BM25_B * c("len") / F.lit(index.avg_len)))
+    return rows.groupBy("qid", "prefix", "id", "live", "n_terms").agg(F.sum(part).alias("magnitude"), F.count("*").alias("matched"))
+
+
+def best(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows of each query in this order, with their rank from 0. Spark sees the limit on the bare row number, so
+    tasks keep no more of a query before it is shuffled."""
+    numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(c("rank") <= limit)
+    return numbered.withColumn("rank", c("rank") - 1)
 
 
-def ladder(scored: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
+def ladder(scored: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """(qid, id, rung, rank, magnitude): all terms, all as prefixes, any, any as prefix; the first rung with a live hit counts."""
-    hits = scored.join(mem.filter(is_live()).select("id"), "id")
     both = F.when(c("matched") == c("n_terms"), F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(3)))
-    rungs = hits.withColumn("rung", F.explode(F.transform(both, lambda r: r + c("prefix").cast("int"))))
-    first = rungs.withColumn("first", F.min("rung").over(Window.partitionBy("qid"))).filter("rung = first")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("magnitude", 9)), F.asc("id"))
-    return first.withColumn("rank", F.row_number().over(order) - 1).filter(c("rank") < limit).select("qid", "id", "rung", "rank", "magnitude")
+    rungs = scored.filter("live").withColumn("rung", F.explode(F.transform(both, lambda r: r + c("prefix").cast("int"))))
+    first = rungs.groupBy("qid").agg(F.min("rung").alias("first"))
+    hits = rungs.join(first, "qid").filter("rung = first")
+    return best(hits, limit, F.desc(F.round("magnitude", 9)), F.asc("id")).select("qid", "id", "rung", "rank", "magnitude")
 
 
-def bm25_search(queries: DataFrame, mem: DataFrame, limit: int = MAX_CANDIDATES, stems: bool = False) -> DataFrame:
-    index = postings(mem, stems)
-    return ladder(bm25(matches(query_terms(queries, stems), index), index), mem, limit)
+def bm25_search(queries: DataFrame, index: Index, limit: int = MAX_CANDIDATES) -> DataFrame:
+    terms = staged(query_terms(queries, index.stems), "terms")
+    return ladder(bm25(matches(terms, index), index), limit)
 
 
 def token_idf(rows: DataFrame, *by: str) -> DataFrame:
     """(by, token, df, idf) of rows (by, id, tokens), with the smoothed idf ln(1 + N / df)."""
     n = rows.groupBy(*by).agg(F.countDistinct("id").alias("n_docs"))
     df = rows.select(*by, "id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df"))
-    joined = df.join(n, list(by)) if by else df.join(F.broadcast(n))  # without by, one row
+    joined = df.join(n, list(by)) if by else df.withColumn("n_docs", F.lit(n.first()[0]))
     return joined.withColumn("idf", F.log(1 + c("n_docs") / c("df")))
 
 
@@ -96,9 +147,8 @@ def tfidf_search(queries: DataFrame, pool: DataFrame, limit: int = MAX_CANDIDATE
     asked_norm = asked.groupBy("qid").agg(F.sqrt(F.sum(c("v") * c("v"))).alias("qn"))
     dots = asked.select("qid", "token", "v").join(docs.select("id", "token", "w"), "token").groupBy("qid", "id").agg(F.sum(c("v") * c("w")).alias("dot"))
     scored = dots.join(doc_norm, "id").join(asked_norm, "qid").withColumn("magnitude", c("dot") / (c("dn") * c("qn"))).filter("magnitude > 0")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("magnitude", 12)), F.asc("place"))
     placed = scored.join(pool.select("id", c("rank").alias("place")), "id")
-    return placed.withColumn("rank", F.row_number().over(order) - 1).filter(c("rank") < limit).select("qid", "id", "rank", "magnitude")
+    return best(placed, limit, F.desc(F.round("magnitude", 12)), F.asc("place")).select("qid", "id", "rank", "magnitude")
 
 
 def rrf(rankings: DataFrame) -> DataFrame:
@@ -139,32 +189,40 @@ def final_score(lexical: Column, slot: Column, coverage: Column, salience: Colum
 
 
 def pool_of(mem: DataFrame, size: int = MAX_CANDIDATES) -> DataFrame:
+    """The pool with its tokens, written: at most `size` rows."""
     from anamnesis.operators.scans import live_ranked
 
-    return live_ranked(mem, size).withColumn("tokens", text.tokens(c("text")))
+    return staged(live_ranked(mem, size).withColumn("tokens", text.tokens(c("text"))), "pool")
 
 
-def recall(queries: DataFrame, mem: DataFrame, now: Column, pool_size: int = MAX_CANDIDATES, scope: str | None = None, stems: bool = False) -> DataFrame:
+def candidates(asked: DataFrame, pool: DataFrame, index_hits: DataFrame, mem: DataFrame, scope: str | None = None) -> DataFrame:
+    """mem's rows, with qid and tokens, that each query (qid, tokens) with a word has to judge: the pool and its index hits."""
+    pooled = asked.filter(F.size("tokens") > 0).select("qid").crossJoin(F.broadcast(pool.select("id")))  # a capped pool for each query
+    ids = pooled.union(index_hits.select("qid", "id")).distinct()
+    rows = ids.join(mem, "id").withColumn("tokens", text.tokens(c("text")))
+    return rows.filter(c("scope").isin(scope, "global")) if scope else rows
+
+
+def recall(queries: DataFrame, mem: DataFrame, now: Column, pool_size: int = MAX_CANDIDATES, scope: str | None = None, stems: bool = False, index: Index | None = None) -> DataFrame:
     """(qid, id, lexical, slot, coverage, salience, score, first): all candidates above the least score. first: the
-    place of a candidate before scores order them (index hits, then cosine hits, then slots)."""
-    pool, index = pool_of(mem, pool_size), bm25_search(queries, mem, stems=stems)
-    cosine = tfidf_search(queries, pool)
-    rankings = index.select("qid", F.lit("bm25").alias("ranker"), "id", "rank", "magnitude").unionByName(cosine.select("qid", F.lit("tfidf").alias("ranker"), "id", "rank", "magnitude"))
-    usable = parsed(queries).filter(F.size("tokens") > 0).select("qid", "tokens")
-    pooled = pool.select("id").join(F.broadcast(usable.select("qid")))  # a capped pool for each query
-    ids = pooled.select("qid", "id").union(index.select("qid", "id")).distinct()
-    rows = ids.join(mem.withColumn("tokens", text.tokens(c("text"))), "id")
-    rows = rows.filter(c("scope").isin(scope, "global")) if scope else rows
-    slots = slot_scores(queries, rows.select("qid", "id", "tokens", "subject"))
+    place of a candidate before scores order them (index hits, then cosine hits, then slots). The pool, the rankings and
+    the candidates are written once each."""
+    asked = staged(parsed(queries), "asked")
+    pool, hits = pool_of(mem, pool_size), staged(bm25_search(queries, index or build_index(mem, stems)), "index-hits")
+    cosine = tfidf_search(asked, pool)
+    rankings = staged(hits.select("qid", F.lit("bm25").alias("ranker"), "id", "rank", "magnitude").unionByName(cosine.select("qid", F.lit("tfidf").alias("ranker"), "id", "rank", "magnitude")), "rankings")
+    rows = staged(candidates(asked, pool, hits, mem, scope), "candidates")
+    slots = slot_scores(asked, rows.select("qid", "id", "tokens", "subject"))
     places = rankings.groupBy("qid", "id").agg(F.min(F.when(c("ranker") == "bm25", c("rank")).otherwise(MAX_CANDIDATES + c("rank"))).alias("place"))
     found = rows.join(fused(rankings), ["qid", "id"], "left").join(slots, ["qid", "id"], "left").join(places, ["qid", "id"], "left")
     found = found.filter(c("lexical").isNotNull() | c("slot").isNotNull())
-    asked = usable.select("qid", F.array_distinct(F.transform("tokens", text.stem)).alias("stems"))
-    found = found.join(asked, "qid").withColumn("coverage", text.coverage(c("stems"), c("tokens"), text.subject_weights(c("subject"))["token"]))
+    stemmed_ = asked.select("qid", F.array_distinct(F.transform("tokens", text.stem)).alias("stems"))
+    found = found.join(stemmed_, "qid").withColumn("coverage", text.coverage(c("stems"), c("tokens"), text.subject_weights(c("subject"))["token"]))
     found = found.withColumns({"lexical": F.coalesce("lexical", F.lit(0.0)), "slot": F.coalesce("slot", F.lit(0.0)), "salience": lifecycle.salience(now)})
     found = found.withColumn("raw", final_score(c("lexical"), c("slot"), c("coverage"), c("salience"))).filter(c("raw") >= MIN_SCORE)
     order = Window.partitionBy("qid").orderBy(F.asc_nulls_last("place"), F.desc("confidence_score"), F.desc("last_accessed_at"), F.asc("id"))
-    return found.withColumn("first", F.row_number().over(order)).select("qid", "id", "lexical", "slot", "coverage", "salience", F.round("raw", 4).alias("score"), "first", "memory_type", "subject", "importance", "confidence_score", "last_accessed_at", "text")
+    found = found.withColumn("first", F.row_number().over(order))
+    return staged(found.select("qid", "id", "lexical", "slot", "coverage", "salience", F.round("raw", 4).alias("score"), "first", "memory_type", "subject", "importance", "confidence_score", "last_accessed_at", "text", "access_count"), "recalled")
 
 
 def top(results: DataFrame, k: int) -> DataFrame:
@@ -181,9 +239,9 @@ def escalates(results: DataFrame, queries: DataFrame) -> DataFrame:
 def salience_only(queries: DataFrame, pool: DataFrame, now: Column, k: int) -> DataFrame:
     """(qid, id, score, pos) for queries without a usable word: the most salient of the pool."""
     empty = parsed(queries).filter(F.size("tokens") == 0).select("qid")
-    scored = pool.withColumn("score", F.round(lifecycle.salience(now), 4)).select("id", "score", "rank")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("rank"))
-    return scored.join(F.broadcast(empty)).withColumn("pos", F.row_number().over(order)).filter(c("pos") <= k).select("qid", "id", "score", "pos")
+    scored = pool.withColumn("score", F.round(lifecycle.salience(now), 4)).select("id", "score", c("rank").alias("pos"))
+    firsts = scored.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("pos")))).filter(c("pos") <= k)  # of the capped pool
+    return empty.crossJoin(F.broadcast(firsts)).select("qid", "id", "score", "pos")
 
 
 def vector_strength(cosine: Column, floor: float = VECTOR_FLOOR, strong: float = VECTOR_STRONG) -> Column:
@@ -196,8 +254,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
 
 
+#: Queries of a block.
+BLOCK = 4096
+
+
+def query_blocks(asked: DataFrame) -> list[DataFrame]:
+    """A stated query set in blocks of about BLOCK rows."""
+    asked = staged(asked, "query-vectors")
+    blocks = -(-asked.count() // BLOCK)
+    return [asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def dot_products(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, id, cosine) of every query (qid, vec) and every unit vector (id, vec), a block of queries at a time."""
+    parts = [vectors.crossJoin(F.broadcast(block.withColumnRenamed("vec", "qvec"))) for block in query_blocks(asked)]
+    pairs = reduce(DataFrame.union, parts) if parts else vectors.crossJoin(asked.withColumnRenamed("vec", "qvec"))
+    return pairs.select("qid", "id", dot(c("qvec"), c("vec")).alias("cosine"))
+
+
 def vector_search(asked: DataFrame, vectors: DataFrame, limit: int, floor: float = VECTOR_FLOOR) -> DataFrame:
-    """(qid, id, cosine, rank): brute force, a stated query set (qid, vec) against all unit vectors (id, vec); newer ids first on ties."""
-    scored = vectors.join(F.broadcast(asked.withColumnRenamed("vec", "qvec"))).withColumn("cosine", dot(c("qvec"), c("vec"))).filter(c("cosine") > floor)
+    """(qid, id, cosine, rank): brute force, a stated query set (qid, vec) against all unit vectors (id, vec); newer ids
+    first on ties. A block of queries is a matrix; a task keeps the best of each query, and those are ranked."""
+    schema = "qid long, id long, cosine double"
+
+    def scan(block: list[tuple[int, np.ndarray]]):
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sizes = {len(v) for _, v in block}
+            asked_by = {n: (np.array([q for q, v in block if len(v) == n]), np.stack([v for _, v in block if len(v) == n])) for n in sizes}
+            kept = pd.DataFrame({"qid": [], "id": [], "cosine": []}).astype({"qid": "int64", "id": "int64"})
+            for b in batches:
+                found = [kept]
+                for n, (qids, q) in asked_by.items():
+                    rows = b[b["vec"].map(lambda v: v is not None and len(v) == n)]
+                    if len(rows):
+                        scores = np.stack(rows["vec"].to_list()).astype(np.float64) @ q.T
+                        at, of = np.nonzero(scores > floor)
+                        found.append(pd.DataFrame({"qid": qids[of], "id": rows["id"].to_numpy()[at], "cosine": scores[at, of]}))
+                kept = pd.concat(found)
+                kept["near"] = kept["cosine"].round(6)
+                kept = kept.sort_values(["near", "id"], ascending=False).groupby("qid").head(limit).drop(columns="near")
+            yield kept
+
+        return judge
+
+    parts = []
+    for block in query_blocks(asked.filter("vec is not null")):
+        held = [(r["qid"], np.array(r["vec"], np.float64)) for r in block.collect()]  # a block's vectors
+        if held:
+            parts.append(vectors.select("id", "vec").mapInPandas(scan(held), schema))
+    found = reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 6)), F.desc("id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= limit).select("qid", "id", "cosine", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= limit).select("qid", "id", "cosine", "rank")
+
+
+def newest_vectors(vectors: DataFrame, live_ids: DataFrame, model: str, limit: int = VECTOR_SCAN) -> DataFrame:
+    """(id, vec) of one model's vectors (memory_id, model, vec) of live rows, the newest ids up to the scan's bound."""
+    own = vectors.filter(c("model") == model).select(c("memory_id").alias("id"), "vec").join(live_ids, "id", "left_semi")
+    return own.orderBy(F.desc("id")).limit(limit)
+
+
+def explained(results: DataFrame) -> DataFrame:
+    """(qid, pos, explanation): a line for each result, with its score and what that is made of."""
+    part = lambda name: F.concat(F.lit(f" {name} "), F.format_number(c(name), 3))
+    said = F.concat(F.format_string("#%d [%d] %s score ", c("pos"), c("id"), c("memory_type")), F.format_number("score", 4), F.lit(" ="), *(part(n) for n in ("lexical", "slot", "coverage", "salience")), F.lit(": "), text.summary(c("text"), 80))
+    return results.select("qid", "pos", said.alias("explanation"))

@@ -15,6 +15,7 @@ from anamnesis.operators import context, extract, retrieval, scans, similarity,
 from anamnesis.operators import lifecycle as ops
 from anamnesis.plans import sql as q
 from anamnesis.plans.memories import ASKED, MEM, access_log, asked, inbox, memories, now, policy, table, utterances
+from anamnesis.sources.paths import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,11 +177,11 @@ def normalize_types(spark, d):
     return labels.crossJoin(table(spark, d, "region")).groupBy("label", life.normalize_type(c("label")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, round(greatest(0, epoch(TIMESTAMP '2024-01-15 00:00:00' - date_trunc('second', ts)) / 86400), 8) AS age FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed, round(greatest(0, epoch(TIMESTAMP '2024-01-15 00:00:00' - date_trunc('second', ts)) / 86400), 8) AS age FROM events")
 def parse_times(spark, d):
     texts = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("s"))
     at = life.parse_time(c("s"))
-    return texts.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), F.round(life.days_since(at, F.lit("2024-01-15 00:00:00").cast("timestamp")), 8).alias("age"))
+    return texts.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("parsed"), F.round(life.days_since(at, F.lit("2024-01-15 00:00:00").cast("timestamp")), 8).alias("age"))
 
 
 @query("SELECT doc_id::VARCHAR AS name, i::BIGINT AS line, trim(l[i]) AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(l[i]), 'thanatre')")
@@ -279,7 +280,7 @@ bmr AS (SELECT qid, id, rung, magnitude, row_number() OVER (PARTITION BY qid ORD
 
 def _bm25(spark, d):
     mem = memories(spark, d)
-    index = retrieval.postings(mem)
+    index = retrieval.build_index(mem)
     return retrieval.bm25(retrieval.matches(retrieval.query_terms(asked(spark)), index), index)
 
 
@@ -295,7 +296,7 @@ def bm25_and(spark, d):
 
 @query(f"WITH {MEM}, {ASK}, {INDEX}, {LADDER} SELECT qid, id, rung, rank, round(magnitude, 6) AS bm25 FROM bmr")
 def bm25_ladder(spark, d):
-    found = retrieval.bm25_search(asked(spark), memories(spark, d))
+    found = retrieval.bm25_search(asked(spark), retrieval.build_index(memories(spark, d)))
     return found.select("qid", "id", "rung", c("rank").cast("long").alias("rank"), F.round("magnitude", 6).alias("bm25"))
 
 
@@ -309,7 +310,7 @@ fu AS (SELECT qid, id, CASE WHEN most > 0 THEN 0.5 * fused / best + 0.5 * streng
 
 def _rankings(spark, d):
     mem = memories(spark, d)
-    a = retrieval.bm25_search(asked(spark), mem).select("qid", F.lit("bm25").alias("ranker"), "id", "rank", "magnitude")
+    a = retrieval.bm25_search(asked(spark), retrieval.build_index(mem)).select("qid", F.lit("bm25").alias("ranker"), "id", "rank", "magnitude")
     return a.unionByName(retrieval.tfidf_search(asked(spark), retrieval.pool_of(mem)).select("qid", F.lit("tfidf").alias("ranker"), "id", "rank", "magnitude"))
 
 
@@ -330,10 +331,8 @@ ct AS (SELECT DISTINCT qid, id, unnest(list_concat(tokens, [s.token FOR s IN slo
 ci AS (SELECT qid, token, ln(1 + any_value(n)::DOUBLE / count(*)) AS idf FROM ct JOIN (SELECT qid, count(*) AS n FROM cr GROUP BY qid) USING (qid) GROUP BY qid, token),
 tp AS (SELECT qid, max(idf) AS top FROM ci GROUP BY qid),
 qs AS (SELECT DISTINCT qid, {q.stem('t')} AS token FROM (SELECT qid, unnest(tokens) AS t FROM ask)),
-sl AS (SELECT qid, id, least(1::DOUBLE, avg(s.weight * idf / top)) AS slot FROM (SELECT qid, id, unnest(slots) AS s FROM cr) JOIN qs ON qs.qid = qid AND qs.token = s.token
- JOIN ci ON ci.qid = qid AND ci.token = s.token JOIN tp ON tp.qid = qid GROUP BY qid, id)"""
-SLOT = SLOT.replace("(SELECT qid, id, unnest(slots) AS s FROM cr) JOIN qs ON qs.qid = qid AND qs.token = s.token\n JOIN ci ON ci.qid = qid AND ci.token = s.token JOIN tp ON tp.qid = qid GROUP BY qid, id",
-                    "(SELECT qid, id, s.token AS token, s FROM (SELECT qid, id, unnest(slots) AS s FROM cr)) JOIN qs USING (qid, token) JOIN ci USING (qid, token) JOIN tp USING (qid) GROUP BY qid, id")
+sl AS (SELECT qid, id, least(1::DOUBLE, avg(s.weight * idf / top)) AS slot FROM (SELECT qid, id, s.token AS token, s FROM (SELECT qid, id, unnest(slots) AS s FROM cr))
+ JOIN qs USING (qid, token) JOIN ci USING (qid, token) JOIN tp USING (qid) GROUP BY qid, id)"""
 COVER = f"""hv AS (SELECT DISTINCT qid, id, t FROM (SELECT qid, id, unnest(list_concat([t FOR t IN tokens IF NOT regexp_full_match(t, '\\p{{Nd}}+')], [s.token FOR s IN slots])) AS t FROM cr)),
 hs AS (SELECT qid, id, {q.stem('t')} AS stem, CASE WHEN length(t) >= 4 THEN substr({q.stem('t')}, 1, 4) END AS head FROM hv),
 cv AS (SELECT qid, id, count(DISTINCT token) AS hits FROM hs JOIN qs USING (qid) WHERE stem = token OR head = substr(token, 1, 4) GROUP BY qid, id),
@@ -352,10 +351,10 @@ def _recall(spark, d):
 
 @query(f"WITH {MEM}, {COSINE}, {INDEX}, {LADDER}, {SLOT} SELECT qid, id, round(slot, 6) AS slot FROM sl")
 def slot_match(spark, d):
-    mem = memories(spark, d).withColumn("tokens", text.tokens(c("text")))
-    use = retrieval.parsed(asked(spark)).filter(F.size("tokens") > 0).select("qid")
-    ids = retrieval.pool_of(mem).select("id").join(F.broadcast(use)).select("qid", "id").union(retrieval.bm25_search(asked(spark), mem).select("qid", "id")).distinct()
-    return retrieval.slot_scores(asked(spark), ids.join(mem, "id")).select("qid", "id", F.round("slot", 6).alias("slot"))
+    mem = memories(spark, d)
+    hits = retrieval.bm25_search(asked(spark), retrieval.build_index(mem))
+    rows = staged(retrieval.candidates(retrieval.parsed(asked(spark)), retrieval.pool_of(mem), hits, mem).select("qid", "id", "tokens", "subject"), "slot-rows")
+    return retrieval.slot_scores(asked(spark), rows).select("qid", "id", F.round("slot", 6).alias("slot"))
 
 
 @query(f"{RECALL} SELECT qid, id, round(lexical, 6) AS lexical, round(slot, 6) AS slot, round(coverage, 6) AS coverage, round(salience, 6) AS salience, score FROM res")
@@ -391,7 +390,7 @@ def context_budget(spark, d):
 
 # vectors
 
-VEC = "dots AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 5)"
+VEC = "dots AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
 
 
 def _vectors(spark, d):
@@ -401,15 +400,15 @@ def _vectors(spark, d):
 @query(f"WITH {VEC} SELECT qid, id, round(cosine, 5) AS cosine, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 6) DESC, id DESC) AS rank FROM dots WHERE cosine > 0.12 QUALIFY rank <= 40")
 def dense_cosine_topk(spark, d):
     v = _vectors(spark, d)
-    found = retrieval.vector_search(v.filter("id < 5").select(c("id").alias("qid"), "vec"), v, 40)  # five stated queries
+    found = retrieval.vector_search(v.filter("id % 100 = 0").select(c("id").alias("qid"), "vec"), v, 40)  # the stated query set
     return found.select("qid", "id", F.round("cosine", 5).alias("cosine"), "rank")
 
 
 @query(f"WITH {VEC} SELECT qid, id, round(CASE WHEN cosine <= 0.12 THEN 0 ELSE least(1::DOUBLE, (cosine - 0.12::DOUBLE) / (0.55::DOUBLE - 0.12::DOUBLE)) END, 5) AS strength FROM dots")
 def vector_strength(spark, d):
     v = _vectors(spark, d)
-    pairs = v.join(F.broadcast(v.filter("id < 5").select(c("id").alias("qid"), c("vec").alias("q"))))
-    return pairs.select("qid", "id", F.round(retrieval.vector_strength(retrieval.dot(c("q"), c("vec"))), 5).alias("strength"))
+    pairs = retrieval.dot_products(v.filter("id % 100 = 0").select(c("id").alias("qid"), "vec"), v)
+    return pairs.select("qid", "id", F.round(retrieval.vector_strength(c("cosine")), 5).alias("strength"))
 
 
 def _stored(spark, d):
@@ -437,9 +436,17 @@ def hashing_embed_search(spark, d):
     return found.select("qid", "id", F.round("cosine", 4).alias("cosine"), "rank")
 
 
-@query()
+MMR = f"""ca AS (SELECT res.qid, res.id, score, row_number() OVER (PARTITION BY res.qid ORDER BY score DESC, first) AS nth, count(*) OVER (PARTITION BY res.qid) AS n, list_distinct(tokens) AS toks
+ FROM res JOIN cr ON cr.qid = res.qid AND cr.id = res.id QUALIFY nth <= 200),
+mm AS (SELECT 0 AS step, qid, id, nth, least(n, 200) AS n, score, toks, 0::DOUBLE AS sim, NULL::BIGINT AS pos, NULL::DOUBLE AS mmr FROM ca UNION ALL
+ SELECT step + 1, qid, id, nth, n, score, toks, greatest(sim, CASE WHEN len(toks) = 0 OR len(near) = 0 THEN 0 ELSE len(list_intersect(toks, near)) / len(list_distinct(list_concat(toks, near))) END),
+ CASE WHEN id = best THEN step + 1 ELSE pos END, CASE WHEN id = best THEN round(v, 4) ELSE mmr END FROM
+ (SELECT *, {MMR_LAMBDA}::DOUBLE * score - (1 - {MMR_LAMBDA}::DOUBLE) * sim AS v, first_value(id) OVER w AS best, first_value(toks) OVER w AS near FROM mm WHERE step < 6 AND n > 6
+  WINDOW w AS (PARTITION BY qid ORDER BY pos IS NOT NULL, {MMR_LAMBDA}::DOUBLE * score - (1 - {MMR_LAMBDA}::DOUBLE) * sim DESC, nth)))"""
+
+
+@query(f"{RECALL.replace('WITH', 'WITH RECURSIVE', 1)}, {MMR} SELECT qid, id, pos, mmr FROM mm WHERE step = 6 AND pos IS NOT NULL UNION ALL SELECT qid, id, nth, NULL FROM ca WHERE n <= 6")
 def mmr_topk(spark, d):
-    """Rows only: a greedy choice. Tests hold it against plain Python."""
     found = retrieval.top(_recall(spark, d), 200).withColumn("tokens", text.tokens(c("text")))
     return similarity.diversified(found.select("qid", "id", "score", c("pos").alias("place"), "tokens"), 6, MMR_LAMBDA)
 
@@ -452,38 +459,56 @@ def exact_dupes(spark, d):
     return similarity.exact_duplicates(docs(spark, d))
 
 
-def _pairs_sql(tokens: str, idf: str, source: str, least: float, factor: str) -> str:
-    return f"""src AS ({source}), ids AS (SELECT id, {q.toks('text')} AS tokens FROM src), wt AS (SELECT DISTINCT id, unnest(tokens) AS token FROM ids),
-widf AS (SELECT token, ln(1 + (SELECT count(*) FROM ids)::DOUBLE / count(*)) AS idf FROM wt GROUP BY token), bag AS (SELECT DISTINCT id, unnest({tokens}) AS token FROM ids),
-wb AS (SELECT id, token, coalesce(idf, 1) AS w FROM bag LEFT JOIN widf USING (token){idf}), tot AS (SELECT id, sum(w) AS t FROM wb GROUP BY id),
-sh AS (SELECT x.id AS a, y.id AS b, sum(x.w) AS s FROM wb x JOIN wb y ON x.token = y.token AND x.id < y.id GROUP BY x.id, y.id),
-pr AS (SELECT a, b, {factor} * s / (ta.t + tb.t - s) AS score FROM sh JOIN tot ta ON ta.id = a JOIN tot tb ON tb.id = b WHERE {factor} * s / (ta.t + tb.t - s) >= {least})"""
+def _pairs_sql(source: str, least: float, trigrams: bool = False, of: str = "true", weighed: str = "") -> str:
+    """Pairs of source by tokens (as pr) or trigrams (as pr3). of: which ids b is taken from. weighed: what words are weighed over, if not source."""
+    k, factor = ("3", "0.92::DOUBLE") if trigrams else ("", "1::DOUBLE")
+    letters = f"""ch AS (SELECT id, unnest(cs) AS a, generate_subscripts(cs, 1) AS i, len(cs) AS m FROM (SELECT id, string_split(array_to_string(tokens, ' '), '') AS cs FROM ids3 WHERE len(tokens) > 0)),
+bag3 AS (SELECT DISTINCT id, token FROM (SELECT id, m, i, a || coalesce(lead(a, 1) OVER o, '') || coalesce(lead(a, 2) OVER o, '') AS token FROM ch WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE i <= greatest(m - 2, 1))"""
+    bag = letters if trigrams else "bag AS (SELECT DISTINCT id, unnest(tokens) AS token FROM ids)"
+    return f"""src{k} AS ({source}), ids{k} AS (SELECT id, {q.toks("text")} AS tokens FROM src{k}), al{k} AS (SELECT id, {q.toks("text")} AS tokens FROM ({weighed or source})), wt{k} AS (SELECT DISTINCT id, unnest(tokens) AS token FROM al{k}),
+widf{k} AS (SELECT token, ln(1 + (SELECT count(*) FROM al{k})::DOUBLE / count(*)) AS idf FROM wt{k} GROUP BY token), {bag},
+wb{k} AS (SELECT id, token, coalesce(idf, 1) AS w FROM bag{k} LEFT JOIN widf{k} USING (token)), tot{k} AS (SELECT id, sum(w) AS t FROM wb{k} GROUP BY id),
+sh{k} AS (SELECT x.id AS a, y.id AS b, sum(x.w) AS s FROM wb{k} x JOIN wb{k} y ON x.token = y.token AND x.id < y.id WHERE {of.format("y.id")} GROUP BY x.id, y.id),
+pr{k} AS (SELECT a, b, {factor} * s / (ta.t + tb.t - s) AS score FROM sh{k} JOIN tot{k} ta ON ta.id = a JOIN tot{k} tb ON tb.id = b WHERE {factor} * s / (ta.t + tb.t - s) >= {least})"""
+
+
+def _both_sql(source: str, least: float, of: str = "true", weighed: str = "") -> str:
+    """Pairs of source by the better of tokens and trigrams, as pb."""
+    return f"{_pairs_sql(source, least, False, of, weighed)}, {_pairs_sql(source, least, True, of, weighed)}, pb AS (SELECT a, b, max(score) AS score FROM (FROM pr UNION ALL FROM pr3) GROUP BY a, b)"
 
 
 CANON = f"SELECT min(doc_id) AS id, arg_min(text, doc_id) AS text FROM documents GROUP BY sha1({q.normalized('text')})"
-ITEMS = "SELECT item_id AS id, text FROM benchmark"
-TOKEN_PAIRS = _pairs_sql("tokens", "", CANON, 0.58, "1::DOUBLE")
 
 
-@query(f"WITH {_pairs_sql('tokens', '', CANON, 0.78, '1::DOUBLE')} SELECT a, b, round(score, 6) AS score FROM pr")
+@query(f"WITH {_pairs_sql(CANON, 0.78)} SELECT a, b, round(score, 6) AS score FROM pr")
 def near_dupes_weighted_jaccard(spark, d):
     return similarity.token_pairs(docs(spark, d), 0.78).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_pairs_sql(q.trigrams('tokens'), '', ITEMS, 0.3, '0.92::DOUBLE')} SELECT a, b, round(score, 6) AS score FROM pr")
+@query(f"WITH {_pairs_sql(CANON, 0.78, True)} SELECT a, b, round(score, 6) AS score FROM pr3")
 def near_dupes_trigram(spark, d):
-    items = table(spark, d, "benchmark").select(c("item_id").alias("id"), "text")
-    return similarity.trigram_pairs(items, 0.3).withColumn("score", F.round("score", 6))
+    return similarity.trigram_pairs(similarity.canonical(docs(spark, d)), 0.78).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {TOKEN_PAIRS} SELECT a, b, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'ask' END AS band FROM pr")
+@query(f"WITH {_both_sql(CANON, 0.58)} SELECT a, b, CASE WHEN round(score, 12) >= 0.88 THEN 'merge' ELSE 'ask' END AS band FROM pb")
 def merge_bands(spark, d):
-    return similarity.bands(similarity.token_pairs(docs(spark, d), 0.58)).select("a", "b", "band")
+    return similarity.bands(similarity.similar_pairs(similarity.canonical(docs(spark, d)), 0.58).withColumn("score", F.round("score", 12))).select("a", "b", "band")
 
 
-@query()
+_LIVE_IDENT = f"SELECT id, memory_type, subject, text, {q.idents('text')} AS ident, array_to_string({q.toks('text')}, ' ') AS h FROM live WHERE len({q.toks('text')}) > 0"
+#: Texts of equal tokens are compared once; words are weighed over all rows, so the statistics are those of every row.
+GREEDY = f"""li AS ({_LIVE_IDENT}), te AS (SELECT h, min(id) AS t, arg_min(text, id) AS text FROM li GROUP BY h), {_both_sql("SELECT t AS id, text FROM te", 0.58, weighed="SELECT id, text FROM li")},
+sy AS (SELECT a, b, score FROM pb UNION ALL SELECT b, a, score FROM pb UNION ALL SELECT t, t, 1 FROM te),
+me AS (SELECT id, t, memory_type, subject, ident FROM li JOIN te USING (h)), us AS (SELECT x.id AS a, y.id AS b, round(score, 12) AS score FROM me x JOIN sy ON sy.a = x.t JOIN me y ON y.t = sy.b AND y.id > x.id
+ AND x.memory_type = y.memory_type AND x.ident = y.ident AND coalesce(x.subject <> y.subject, true)),
+ob AS (SELECT b, row_number() OVER (ORDER BY b) AS i, list({{'a': a, 's': score}} ORDER BY score DESC, a) AS c FROM us GROUP BY b),
+go AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone, NULL::BIGINT AS keep, NULL::BIGINT AS drop_, NULL::DOUBLE AS score UNION ALL
+ SELECT ob.i, CASE WHEN f.s >= 0.88 THEN list_append(gone, b) ELSE gone END, f.a, b, f.s FROM (SELECT ob.i, gone, b, [x FOR x IN c IF NOT list_contains(gone, x.a)][1] AS f FROM go JOIN ob ON ob.i = go.i + 1) ob),
+pn AS (SELECT keep, drop_ AS drop, score, CASE WHEN score >= 0.88 THEN 'merge' ELSE 'ask' END AS action FROM go WHERE keep IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {MEM}, {GREEDY} SELECT keep, drop, round(score, 6) AS score, action FROM pn QUALIFY action = 'merge' OR row_number() OVER (PARTITION BY action ORDER BY score DESC, drop) <= 12")
 def greedy_merge_plan(spark, d):
-    """Rows only: a greedy choice. Tests hold it against plain Python."""
     mem = scans.live(memories(spark, d)).withColumn("ident", text.identity_tokens(c("text")))
     pairs = similarity.class_pairs(mem, 0.58)
     return similarity.merge_plan(mem.select("id", "memory_type", "subject", "ident"), pairs).withColumn("score", F.round("score", 6))
@@ -550,26 +575,40 @@ def extract_heuristics(spark, d):
     return extract.extracted(utterances(spark, d)).select("turn_id", "n", "text", "memory_type")
 
 
-@query()
+@query(f"""WITH {UTTER} SELECT turn_id, 'preference' AS memory_type, CASE kind WHEN 0 THEN 'The user uses ' || seg || '.' ELSE 'The user uses ' || seg || ' and yarn.' END AS text FROM ut WHERE kind IN (0, 2)
+ UNION ALL SELECT turn_id, 'instruction', unnest(['The user has asked to always check the ' || seg || ' first, I never skip the ' || seg || ' tests.', 'The user has asked to never skip the ' || seg || ' tests.']) FROM ut WHERE kind = 3""")
 def echo_filter(spark, d):
-    """Rows only. Candidates that repeat a found fact without a subject: here each fact is its own echo."""
+    """Candidates that repeat a found fact without a subject: here each such fact is its own echo."""
     found = extract.extracted(utterances(spark, d))
     return similarity.echoes(found.select("turn_id", "memory_type", "text"), found, ECHO)
 
 
-@query()
+_KNOWN = f"SELECT min(id) AS id, arg_min(text, id) AS text FROM live GROUP BY sha1({q.normalized('text')})"
+_BATCH = "SELECT 1000000000 + doc_id AS id, CASE doc_id % 400 WHEN 0 THEN text WHEN 100 THEN text || ' pnpm' WHEN 200 THEN text || ' 7' ELSE 'zq' || doc_id || ' is new here' END AS text FROM documents WHERE doc_id % 100 = 0"
+_EVERY = f"SELECT id, text FROM known UNION ALL SELECT id, text FROM fresh WHERE id NOT IN (SELECT id FROM exact)"
+_FIRST = f"SELECT sha1({q.normalized('text')}) AS h, min(id) AS target FROM (SELECT id, text FROM live UNION ALL SELECT id, text FROM batch) GROUP BY 1"
+
+
+@query(f"""WITH {MEM}, batch AS ({_BATCH}), known AS ({_KNOWN}), fresh AS (SELECT * FROM batch WHERE trim(text) <> ''),
+exact AS (SELECT id, target FROM fresh JOIN ({_FIRST}) ON h = sha1({q.normalized('text')}) WHERE id <> target), {_both_sql(_EVERY, 0.78, '{0} IN (SELECT id FROM batch)')},
+side AS (SELECT id, {q.idents('text')} AS ident FROM ({_EVERY})),
+near AS (SELECT b AS id, arg_max(a, (round(score, 12), -a)) AS target FROM pb JOIN side x ON x.id = a JOIN side y ON y.id = b WHERE x.ident = y.ident AND b IN (SELECT id FROM batch) GROUP BY b)
+SELECT fresh.id, CASE WHEN exact.id IS NOT NULL OR near.id IS NOT NULL THEN 'duplicate' ELSE 'insert' END AS action, coalesce(exact.target, near.target) AS target FROM fresh LEFT JOIN exact USING (id) LEFT JOIN near USING (id)""")
 def insert_decisions(spark, d):
-    """Rows only: what inserting every benchmark item into the store of its documents' ids would do."""
+    """What inserting a text for each hundredth document would do to the store of all documents: copies, near copies, texts
+    that differ in a number, and new ones."""
     from anamnesis.operators.writes import decided
 
-    mem = table(spark, d, "benchmark").select(c("item_id").alias("id"), "text", F.lit(None).cast("string").alias("subject"), F.lit(False).alias("is_archived"), F.lit(None).cast("long").alias("superseded_by"))
-    batch = mem.select((c("id") + 1_000_000).alias("id"), F.concat(c("text"), F.lit(" 7")).alias("text"), F.lit("fact").alias("memory_type"), "subject")
-    return decided(batch, mem)
+    d_ = table(spark, d, "documents").filter("doc_id % 100 = 0")  # the batch; the store is whole
+    kind = c("doc_id") % 400
+    said = F.when(kind == 0, c("text")).when(kind == 100, F.concat("text", F.lit(" pnpm"))).when(kind == 200, F.concat("text", F.lit(" 7"))).otherwise(F.concat(F.lit("zq"), c("doc_id").cast("string"), F.lit(" is new here")))
+    batch = d_.select((c("doc_id") + 1_000_000_000).alias("id"), said.alias("text"), F.lit("fact").alias("memory_type"), F.lit(None).cast("string").alias("subject"))
+    return decided(batch, memories(spark, d))
 
 
-@query()
+@query("SELECT doc_id AS id, flat AS text, source FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents) WHERE doc_id % 3 = 0 AND length(text) BETWEEN 12 AND 4000 AND length(flat) BETWEEN 1 AND 4000")
 def inbox_drain_stream(spark, d):
-    """Rows only: the pending rows through the file stream, each batch kept as written."""
+    """The pending rows through the file stream, each batch kept as written."""
     import uuid
 
     from anamnesis.sources.paths import work_dir

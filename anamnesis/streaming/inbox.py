@@ -7,12 +7,14 @@ duplicates, so a batch that is seen again changes nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions.constants import INBOX_CHARS
+from anamnesis.sources.store import lines_of
 
 SCHEMA = "id long, text string, source string, session_id string, captured_at timestamp"
 
@@ -28,6 +30,22 @@ def capture(rows: DataFrame, path: str) -> None:
     checked(rows).filter("rejected is null").drop("rejected").write.mode("append").parquet(path)
 
 
+def capture_one(spark: SparkSession, said: str, path: str, source: str = "cli", session: str | None = None) -> str | None:
+    """Lands one text; returns why it cannot be captured, None where it was. Rows of an hour apart, or of two callers, have
+    different ids: a random one each."""
+    row = spark.createDataFrame([(uuid.uuid4().int >> 65, said, source, session)], "id long, text string, source string, session_id string").withColumn("captured_at", F.current_timestamp())
+    why = checked(row).first()["rejected"]
+    if why is None:
+        capture(row, path)
+    return why
+
+
+def capture_lines(spark: SparkSession, files: str, path: str, source: str = "stdin") -> None:
+    """Lands the acceptable lines of text files, as a caller pipes them in."""
+    lines = lines_of(spark, files).withColumn("id", F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(uuid.uuid4().hex)), 1))
+    capture(lines.select("id", "text", F.lit(source).alias("source"), F.lit(None).cast("string").alias("session_id"), F.current_timestamp().alias("captured_at")), path)
+
+
 def drain(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """All that has landed and was not drained, in the order of capture within a batch."""
     landed = spark.readStream.schema(SCHEMA).parquet(path)

@@ -78,7 +78,7 @@ def test_bm25_equals_fts5(spark, mem):
     db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='unicode61')")
     db.executemany("INSERT INTO f(rowid, text) VALUES (?, ?)", rows)
     for asked, match in (("dashboard metric", '"dashboard" OR "metric"'), ("user editor", '"user" OR "editor"'), ("pnpm npm pnpm", '"pnpm" OR "npm" OR "pnpm"')):
-        index = retrieval.postings(mem)
+        index = retrieval.build_index(mem)
         got = {r.id: r.magnitude for r in retrieval.bm25(retrieval.matches(retrieval.query_terms(queries(spark, asked)), index), index).filter("not prefix").collect()}
         want = {i: -s for i, s in db.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,))}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
@@ -89,16 +89,16 @@ def test_porter_index_equals_fts5(spark, mem):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='porter unicode61')")
     db.executemany("INSERT INTO f(rowid, text) VALUES (?, ?)", rows)
-    docs = spark.createDataFrame(rows, "id long, text string")
+    docs = spark.createDataFrame(rows, "id long, text string").withColumns({"is_archived": F.lit(False), "superseded_by": F.lit(None).cast("long")})
     for asked in ("parser dashboards", "relate condition", "fly agree hops", "general adjust oscillate", "allergy", "reviewing metrics", "database falls"):
-        index = retrieval.postings(docs, stems=True)
+        index = retrieval.build_index(docs, stems=True)
         got = {r.id: r.magnitude for r in retrieval.bm25(retrieval.matches(retrieval.query_terms(queries(spark, asked), stems=True), index), index).filter("not prefix").collect()}
         want = {i: -s for i, s in db.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (" OR ".join(f'"{w}"' for w in asked.split()),))}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want), asked
 
 
 def test_ladder_prefers_the_strictest_rung(spark, mem):
-    rung = {r.qid: r.rung for r in retrieval.bm25_search(queries(spark, "dark editor", "dar edit", "dark zebra", "dar zebra"), mem).select("qid", "rung").distinct().collect()}
+    rung = {r.qid: r.rung for r in retrieval.bm25_search(queries(spark, "dark editor", "dar edit", "dark zebra", "dar zebra"), retrieval.build_index(mem)).select("qid", "rung").distinct().collect()}
     assert rung == {0: 1, 1: 2, 2: 3, 3: 4}
 
 
@@ -269,7 +269,7 @@ def test_context(spark):
     assert [r.id for r in lines] == [2, 4] and sum(len(r.line) + 1 for r in lines) <= 600 and "(confidence: 30%)" in lines[0].line
     assert context.context_lines(df, 5).count() == 2
     block = {r.qid: r.block for r in context.context_block(df).collect()}
-    assert block[1].startswith("What you know about the user:\n- [99] (fact) <a.b> only\nUse these")
+    assert block[1].startswith("What you know about the user:\n- [99] (fact) <a.b> only\nThese notes")
 
 
 def test_history(spark):
@@ -285,8 +285,8 @@ def test_gate(spark, turn, want):
     assert spark.createDataFrame([(turn,)], "t string").select(extract.worth_extracting(F.col("t")).alias("w")).first().w is want
 
 
-def test_extraction():
-    texts = lambda t: [f["text"] for f in extract.facts_in(t)]
+def test_extraction(spark):
+    texts = lambda t: [f["text"] for f in spark.createDataFrame([(t,)], "t string").select(extract.facts(F.col("t")).alias("f")).first().f]
     assert texts("my name is Krishna and I use pnpm") == ["The user's name is Krishna.", "The user uses pnpm."]
     assert texts("I use pnpm and yarn") == ["The user uses pnpm and yarn."]
     assert texts("I prefer dark mode and I am a backend developer")[1] == "The user prefers dark mode."
@@ -294,6 +294,10 @@ def test_extraction():
     assert texts("never commit to the main branch") == ["The user has asked to never commit to the main branch."]
     assert texts("fix the bug in auth.py") == [] and texts(None) == []
     assert len(texts("my name is Al Bo, I live in Rome, I use vim, always run the linter, remember that it is cold")) == 3
+    clean = lambda v: spark.createDataFrame([(v,)], "t string").select(extract.clean(F.col("t")).alias("f")).first().f
+    cases = {"pnpm and yarn": "pnpm and yarn", "pnpm and i am": "pnpm", "a, b and c or d": "a, b", "tea or": "tea", "vim and emacs and more words": "vim and emacs", "vim and more words": "vim", "the of it, really just": "the of it", "": "", "so": "", "Rome; because": "Rome"}
+    assert {v: clean(v) for v in cases} == cases
+    assert texts("I hate tabs! I also dislike mornings") == ["The user dislikes tabs."] and texts("My name's Zoë Ångström ok") == ["The user's name is Zoë Ångström."]
 
 
 def test_model_replies(spark):
@@ -329,22 +333,134 @@ def test_engine(spark, tmp_path):
     from anamnesis.api import MemoryEngine
 
     e = MemoryEngine(spark, f"file://{tmp_path}/engine", now())
-    said = {r.id: r.action for r in e.add_many([("The user is allergic to peanuts", "fact", None), ("The user likes tea", "preference", None), ("the user LIKES tea.", "preference", None), ("note", "session", None)]).collect()}
-    assert said == {1: "insert", 2: "insert", 3: "duplicate"}
+    said = {r.id: r.action for r in e.add_many([("The user is allergic to peanuts", "fact", None), {"text": "The user likes tea", "memory_type": "preference"}, ("the user LIKES tea.", "preference"), ("note", "session", None), "plain words of a fact"]).collect()}
+    assert said == {1: "insert", 2: "insert", 3: "duplicate", 5: "insert"}
     e.observe(["I live in Berlin because of work"])
+    assert e.observe(["I like that the user likes green tea, remember that The user likes tea"]).filter("action = 'insert'").count() <= 1
     got = {r.qid: r.id for r in e.search(["do I have any allergies", "where do I live", "!!!"], k=1).collect()}
-    assert got[0] == 1 and got[1] == 3
+    assert got[0] == 1 and got[1] == 6 and 2 in got
+    vectors = e.store.vectors().count()
+    assert vectors == e.stats().first().live and e.refresh_vectors() == 0
+    before = e.store.accesses().count()
+    assert e.search(["where do I live"], k=1, reinforce=True).first().id == 6
+    used = e.store.read().filter("id = 6").first()
+    logged = e.store.accesses().collect()
+    assert (before, used.access_count, [(r.memory_id, r.query) for r in logged]) == (0, 1, [(6, "where do I live")])
+    assert "Berlin" in e.context(["where do I live"], use_vectors=False).first().block
+    line = e.explain(["where do I live"], k=1).first().explanation
+    assert "[6] identity" in line and "coverage" in line
+    assert e.tool("remember", text=" ").startswith("Error") and e.tool("forget", memory_id=99).startswith("Error") and e.tool("nothing").startswith("Error")
+    assert e.tool("remember", text="The user likes tea", memory_type="preference") == "Known as #2 (duplicate)." and e.tool("forget", memory_id=2) == "Archived #2."
+    assert "IDENTITY (1)" in e.tool("memories") and "#2 " not in e.tool("memories") and "x #2 " in e.tool("memories", include_archived=True)
 
 
 def test_engine_sweeps_and_forgets(spark, tmp_path):
     from anamnesis.api import MemoryEngine
 
-    e = MemoryEngine(spark, f"file://{tmp_path}/engine", now())
+    e = MemoryEngine(spark, f"file://{tmp_path}/engine", now(), every=2)
     rows = [(1, "The user is allergic to peanuts", "fact", None, 1.0, 30.0), (2, "lives in London", "identity", "user.location", 1.0, 5.0), (3, "lives in Tokyo", "identity", "user.location", 1.0, 1.0), (4, "old gossip", "event", None, 0.2, 400.0), (5, " ", "event", None, 1.0, 0.0)]
     e.store.write(store(spark, rows))
     counts = e.tick().first()
-    assert (counts.checked, counts.decayed, counts.archived, counts.expired) == (5, 1, 1, 0)
+    assert (counts.checked, counts.decayed, counts.archived, counts.expired) == (5, 1, 1, 0) and e.last_report is None
     e.forget([1])
     gone = {r.id: r.archived_reason for r in e.store.read().filter("is_archived").collect()}
-    assert set(gone) == {1, 4} and gone[1] == "user_requested"
+    assert gone == {1: "user_requested", 4: "idle"}
     assert (e.stats().first().live, e.stats().first().archived) == (3, 2)
+    e.tick()  # the second turn consolidates
+    assert (e.last_report.superseded, e.last_report.pruned, e.last_report.merged) == ([2], [5], []) and "1 superseded" in str(e.last_report)
+
+
+def test_consolidation_asks_once_and_remembers(spark, tmp_path):
+    from anamnesis.api import MemoryEngine
+
+    e = MemoryEngine(spark, f"file://{tmp_path}/engine", now())
+    rows = [(1, "The user is a backend engineer", "fact", None, 1.0, 0.0), (2, "The user works as a backend engineer", "fact", None, 1.0, 0.0), (3, "The user likes tea", "preference", None, 1.0, 0.0), (4, "the user likes tea", "preference", None, 1.0, 0.0)]
+    e.store.write(store(spark, rows))
+    asked = []
+    failing = lambda pairs: asked.append(len(pairs)) or None
+    assert e.consolidate(dry_run=True).merged == [(3, 4)] and e.store.read().filter("is_archived").count() == 0
+    first = e.consolidate(failing)
+    assert first.merged == [(3, 4)] and e.store.verdicts().count() == 0  # no answer is kept of a failure
+    pairs = asked[0] if asked else 0
+    no = e.consolidate(lambda p: [])
+    assert no.merged == [] and e.store.verdicts().count() == pairs
+    again = e.consolidate(failing)
+    assert again.merged == [] and len(asked) == min(1, pairs)  # what was said is not asked again
+
+
+def test_two_writers_of_one_version(spark, mem, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.write(mem)
+    n, late = s.version(), s.read().filter("id = 1")
+    s.write(s.read().filter("id = 2"), n)
+    with pytest.raises(Exception):
+        s.write(late, n)
+    assert [r.id for r in s.read().collect()] == [2] and s.version() == n + 1
+
+
+def test_index_of_a_version(spark, mem, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.write(mem)
+    index = s.index()
+    assert retrieval.index_is_sane(index, s.read()) and index.n_docs == mem.count()
+    s.delete([1])
+    assert not retrieval.index_is_sane(index, s.read()) and s.index().n_docs == mem.count() - 1
+    assert s.reindexed().n_docs == mem.count() - 1
+
+
+def test_adjudication(spark):
+    plan = spark.createDataFrame([(1, 2, 0.9, "merge"), (3, 4, 0.7, "ask"), (5, 6, 0.6, "ask")], "keep long, drop long, score double, action string")
+    items = spark.createDataFrame([(i, f"text number {chr(96 + i)}") for i in range(1, 7)], "id long, text string")
+    none = spark.createDataFrame([], "pair string, same boolean")
+    out, fresh = similarity.adjudicated(plan, items, lambda pairs: [2], none)
+    assert sorted((r.keep, r.drop) for r in out.collect()) == [(1, 2), (5, 6)] and fresh.count() == 2
+    out, more = similarity.adjudicated(plan, items, lambda pairs: 1 / 0, fresh)
+    assert sorted((r.keep, r.drop) for r in out.collect()) == [(1, 2), (5, 6)] and more.count() == 0
+    assert similarity.adjudicated(plan, items, lambda pairs: 1 / 0, none)[1].count() == 0
+
+
+def test_embedders():
+    from anamnesis.embedders import Embedder, Embedders
+
+    known, calls = Embedders(), []
+    encode = lambda texts: calls.append(len(texts)) or [[float(len(t)), 1.0] for t in texts]
+    known.register(Embedder("broken", lambda texts: 1 / 0))
+    known.register(Embedder("lengths", encode, batch=2, chars=4))
+    assert known.use("missing", "broken", "lengths").name == "lengths" and known.get().name == "lengths"
+    calls.clear()
+    assert known.get().batched()(["a", "bb", "a", None, "", "ccccccc"]) == [[1.0, 1.0], [2.0, 1.0], [1.0, 1.0], None, None, [4.0, 1.0]] and calls == [2, 1]
+    assert known.use("broken").name == "hashing-256" and known.get().batched() is None
+    known.reset()
+    assert known.names() == ["hashing-256"]
+
+
+def test_plain_functions(spark):
+    from anamnesis.functions import lifecycle as life
+
+    at = F.lit("2024-02-01 03:04:05.000006").cast("timestamp")
+    row = spark.range(1).select(
+        life.to_iso(at), life.to_iso(F.lit("2024-02-01 00:00:00").cast("timestamp")), life.to_iso(life.plus_days(at, F.lit(1.5))), text.truncated(F.lit("abcdef"), 4), text.truncated(F.lit("abcd"), 4), similarity.pair_key(F.lit("b"), F.lit("a"))
+    ).first()
+    assert row[:] == ("2024-02-01T03:04:05.000006+00:00", "2024-02-01T00:00:00+00:00", "2024-02-02T15:04:05.000006+00:00", "abcd\n[2 characters truncated]", "abcd", "a:b")
+    words = [["new", "york"], ["ab"], [], ["ß", "é"]]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w array<string>").select(text.trigrams(F.col("w"))).collect()]
+    assert got == [["new", "ew ", "w y", " yo", "yor", "ork"], ["ab"], [], ["ß é"]]
+
+
+def test_files_and_captures(spark, tmp_path):
+    from anamnesis.sources.store import files_under, lines_of
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("first fact of all\n\n  \nsecond fact of all\n")
+    assert [(r.name, r.bytes) for r in files_under(spark, f"{tmp_path}/in").collect()] == [("a.txt", 41)]
+    assert sorted(r.text for r in lines_of(spark, f"{tmp_path}/in").collect()) == ["first fact of all", "second fact of all"]
+    assert inbox.capture_one(spark, " one  fact ", f"{tmp_path}/landed") is None and inbox.capture_one(spark, " ", f"{tmp_path}/landed") == "empty"
+    inbox.capture_lines(spark, f"{tmp_path}/in", f"{tmp_path}/landed")
+    rows = spark.read.parquet(f"{tmp_path}/landed").collect()
+    assert sorted(r.text for r in rows) == ["first fact of all", "one fact", "second fact of all"] and len({r.id for r in rows}) == 3
+
+
+def test_memories_by_type(spark):
+    mem = store(spark, [(1, "likes tea", "preference", None, 0.8, 0.0), (2, "named Al", "identity", None, 1.0, 0.0), (3, "odd", "fact", None, 1.0, 0.0)]).withColumn("memory_type", F.when(F.col("id") == 3, "zzz").otherwise(F.col("memory_type")))
+    rows = context.by_type(mem).orderBy("place").collect()
+    assert [(r.memory_type, r.n) for r in rows] == [("identity", 1), ("preference", 1), ("zzz", 1)] and "80%" in rows[1].lines[0] and "likes tea" in rows[1].lines[0]

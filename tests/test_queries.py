@@ -32,7 +32,7 @@ def test_query_equals_its_sql(spark, duck, name):
     if name in entry.oracle_sql():
         want = duck.sql(entry.oracle_sql()[name])
         assert sorted(want.columns) == columns
-        assert plain(rows) == plain(duck.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
+        assert plain(rows) == plain(duck.sql(f"SELECT {', '.join(chr(34) + x + chr(34) for x in columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
     else:
         assert rows
 
