@@ -297,7 +297,7 @@ def test_extraction(spark):
     clean = lambda v: spark.createDataFrame([(v,)], "t string").select(extract.clean(F.col("t")).alias("f")).first().f
     cases = {"pnpm and yarn": "pnpm and yarn", "pnpm and i am": "pnpm", "a, b and c or d": "a, b", "tea or": "tea", "vim and emacs and more words": "vim and emacs", "vim and more words": "vim", "the of it, really just": "the of it", "": "", "so": "", "Rome; because": "Rome"}
     assert {v: clean(v) for v in cases} == cases
-    assert texts("I hate tabs! I also dislike mornings") == ["The user dislikes tabs."] and texts("My name's Zoë Ångström ok") == ["The user's name is Zoë Ångström."]
+    assert texts("I hate tabs! I also dislike mornings") == ["The user dislikes tabs."] and texts("My name's Zoë Angström ok") == ["The user's name is Zoë Angström."]
 
 
 def test_model_replies(spark):
