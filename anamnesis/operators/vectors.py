@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -30,15 +31,30 @@ def _grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _word(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that a word and its letter groups add to, in order, and what they add."""
+    found = [(*_slot(word, dim), 1.0), *((*_slot("#" + g, dim), GRAM_WEIGHT) for g in _grams(word))]
+    return np.array([i for i, _, _ in found], np.uint16 if dim <= 1 << 16 else np.int64), np.array([sign * w for _, sign, w in found])
+
+
+#: Words that are added up at a time.
+WORDS = 4096
+
+
 def hashed(token_list: Sequence[str], dim: int = DIM) -> list[float]:
-    """A unit vector of signed hashes of words and their letter groups, added up in single precision; zero without words."""
+    """A unit vector of signed hashes of words and their letter groups, added up in single precision; zero without words.
+    All slots take their next summand at once, so each is rounded as often as if they were added one by one."""
     v = np.zeros(dim, np.float32)
-    for t in token_list:
-        i, sign = _slot(t, dim)
-        v[i] = np.float32(float(v[i]) + sign)
-        for g in _grams(t):
-            i, sign = _slot("#" + g, dim)
-            v[i] = np.float32(float(v[i]) + sign * GRAM_WEIGHT)
+    for at in range(0, len(token_list), WORDS):
+        parts = [_word(t, dim) for t in token_list[at : at + WORDS]]
+        slots, summands = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(slots, kind="stable")
+        slots, counts = slots[order], np.bincount(slots, minlength=dim)
+        rounds = np.zeros((counts.max(), dim))
+        rounds[np.arange(len(slots)) - (np.cumsum(counts) - counts)[slots], slots] = summands[order]
+        for r in rounds:
+            v = (v.astype(np.float64) + r).astype(np.float32)
     total = math.fsum(float(x) * float(x) for x in v)
     return (v.astype(np.float64) / math.sqrt(total)).astype(np.float32).tolist() if total > 0 else v.tolist()
 
