@@ -151,6 +151,40 @@ def test_weighted_pairs_equal_all_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_block_pairs_lose_nothing_between_blocks(spark, monkeypatch):
+    import random
+
+    from anamnesis.operators import pairs
+
+    for name, value in (("BLOCK_SETS", 9), ("BLOCK_TOKENS", 60), ("SIDE_TOKENS", 40), ("LEAST_SETS", 1)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = random.Random(5)
+    bags = {i: {f"t{rng.randint(1, 30)}" for _ in range(rng.choice([1, 2, 8, 9, 10, 40]))} for i in range(60)}
+    items = spark.createDataFrame([(i, t) for i, s in bags.items() for t in s], "id long, token string")
+    idf = {f"t{k}": 0.2 + k / 4 for k in range(1, 31, 2)}
+    sets = similarity.weighted_sets(items, spark.createDataFrame(list(idf.items()), "token string, idf double"))
+    want = {(a, b): s for a in bags for b in bags if a < b and (s := weighted(bags[a], bags[b], idf)) >= 0.4}
+    got = {(r.a, r.b): r.score for r in similarity.weighted_pairs(sets, 0.4).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    sides = {1, 20, 21, 44, 59}
+    some = similarity.weighted_pairs(sets, 0.4, spark.createDataFrame([(i,) for i in sides], "id long")).collect()
+    assert sorted((r.a, r.b) for r in some) == sorted(k for k in want if k[1] in sides)
+
+
+def test_hashing_adds_in_single_precision_one_by_one():
+    from anamnesis.operators.vectors import _grams, _slot, hashed
+
+    words = ["allergic", "to", "peanuts"] * 1500 + ["x"]
+    v = [0.0] * 256
+    f32 = lambda x: __import__("struct").unpack("f", __import__("struct").pack("f", x))[0]
+    for w in words:
+        for key, weight in [(w, 1.0), *(("#" + g, 0.35) for g in _grams(w))]:
+            i, sign = _slot(key, 256)
+            v[i] = f32(v[i] + sign * weight)
+    norm = math.sqrt(math.fsum(x * x for x in v))
+    assert hashed(words) == [f32(x / norm) for x in v]
+
+
 def test_merge_plan_is_greedy_and_respects_identity(spark):
     items = spark.createDataFrame([(1, "fact", None, []), (2, "fact", None, []), (3, "fact", None, []), (4, "goal", None, []), (5, "fact", None, ["0"]), (6, "fact", "s", []), (7, "fact", "s", [])], "id long, memory_type string, subject string, ident array<string>")
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (1, 3, 0.6), (1, 4, 1.0), (1, 5, 1.0), (6, 7, 1.0)], "a long, b long, score double")
