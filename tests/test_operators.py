@@ -151,6 +151,31 @@ def test_weighted_pairs_equal_all_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_postings_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "b a b ß A"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    rows = retrieval.postings(df)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 2), (1, "b", 2), (1, "ss", 1), (4, "x", 1)]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_scans_equal_plain_and_run_as_matrices(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vecs = {i: v.tolist() for i, v in enumerate(rng.choice([-0.5, 0.0, 0.5], (90, 4)))} | {90: [1.0, 0.0], 91: None}
+    table = spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")
+    asked = table.filter("id % 9 = 0").withColumnRenamed("id", "qid")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) if a and b and len(a) == len(b) else 0.0
+    want = {(q, i): cos(vecs[q], vecs[i]) for q in vecs if q % 9 == 0 for i in vecs}
+    pairs = retrieval.dot_products(asked, table)
+    assert {(r.qid, r.id): r.cosine for r in pairs.collect()} == want
+    assert "MapInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+    found = retrieval.vector_search(asked, table, 3, 0.1)
+    best = {q: sorted((i for i in vecs if want[q, i] > 0.1), key=lambda i: (-want[q, i], -i))[:3] for q in vecs if q % 9 == 0}
+    assert {(r.qid, r["rank"]): r.id for r in found.collect()} == {(q, k + 1): i for q, ids in best.items() for k, i in enumerate(ids)}
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_block_pairs_lose_nothing_between_blocks(spark, monkeypatch):
     import random
 
