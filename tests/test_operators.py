@@ -158,6 +158,13 @@ def test_postings_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keywords_are_counted_without_a_shuffle(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["keywords_topk"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_scans_equal_plain_and_run_as_matrices(spark):
     import numpy as np
 
